@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorlake.llm import leaks, near, rules
+from mirrorlake.llm import leaks, near, packing, rules, secret_scan
 from mirrorlake.operators.lineage import shared_dir
 
 
@@ -23,14 +25,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return leaks.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; all documents stay."""
+    return secret_scan.redact(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into training windows."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", windows)]
+#: Trained models, an approximate join and dynamic programming are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    import uuid
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
