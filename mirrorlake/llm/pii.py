@@ -184,7 +184,7 @@ class SemiCrf:
                     if v > best[j][k]:
                         best[j][k], back[j][k] = v, (i, y)
         out = []
-        j, y = n, max(labels, key=lambda k: best[n][k])
+        j, y = n, max(labels, key=lambda k: best[n][k] + t[k][_O])  # the end counts as plain text
         while j > 0:
             i, x = back[j][y]
             if y != _O:
