@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorlake.llm import chat, gam, leaks, near, packing, pii, rules, secret_scan, toxicity
+from mirrorlake.llm import chat, gam, leaks, near, packing, pii, repeats, rules, secret_scan, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_t(spark, d, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repeated_passages(_t(spark, d, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.rules_keep(_t(spark, d, "documents"), _t(spark, d, "labels"))
 
@@ -50,7 +54,7 @@ def op10_chat_format(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii_semi_crf, op2_quality_gam, op3_toxicity_chain, op4_secret_scan, op5_packing, op7_quality_rules, op8_near_dedup, op9_decontamination, op10_chat_format)
+    own = (op1_pii_semi_crf, op2_quality_gam, op3_toxicity_chain, op4_secret_scan, op5_packing, op6_repeated_passages, op7_quality_rules, op8_near_dedup, op9_decontamination, op10_chat_format)
     return {f.__name__: f for f in own}
 
 
