@@ -5,11 +5,623 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mirrorlake.functions import ctph, images, names, paths, signatures
+from mirrorlake.operators import actions, caches, exact, folders, fuzzy, groups, results, suggest
+from mirrorlake.operators.components import components
+from mirrorlake.operators.lineage import cut
+from mirrorlake.options import ScanOptions
+from mirrorlake.plans import stand_ins as made
+from mirrorlake.sources import catalogue
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+#: Documents of the test tables are short; the usual 4,096 bytes would leave few.
+NEAR = ScanOptions(fuzzy_min_size=192)
+
+
+def _query(sql: str | None = None, head: str = "") -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = head + sql
+        return f
+
+    return keep
+
+
+_FILES = f"WITH {catalogue.FILES_SQL} "
+_SCAN = made.SCAN_SQL
+_GROUP_ROW = ", ".join(groups.GROUP_COLUMNS)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return catalogue.documents(spark, d)
+
+
+def _csv(ids: str) -> F.Column:
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+
+
+# ---- scans and filters
+
+
+@_query("SELECT id, scan_id, path, parent, name, ext, size, mtime, inode, nlink, md5, status FROM files", _FILES)
+def catalogue_files(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", "scan_id", "path", "parent", "name", "ext", "size", "mtime", "inode", "nlink", "md5", "status")
+
+
+_OPTIONS = ScanOptions(exclude_globs=("*7.txt", "report 1? (1).txt", "report [2-4]*0*.txt"), exclude_dirs=("downloads", "es"), min_size=100, max_size=20_000, roots=("/corpus/Video", "/corpus/Photos/", "/corpus/backup/de", "/corpus/archive"))
+
+
+@_query(
+    r"SELECT id, path, size FROM files WHERE NOT regexp_matches(name, '^(.*7[.]txt|report 1. \(1\)[.]txt|report [2-4].*0.*[.]txt)$') AND NOT list_has_any(string_split(parent, '/'), ['downloads', 'es']) AND size BETWEEN 100 AND 20000 "
+    "AND (starts_with(path, '/corpus/Video/') OR starts_with(path, '/corpus/Photos/') OR starts_with(path, '/corpus/backup/de/') OR starts_with(path, '/corpus/archive/'))", _FILES)
+def exclude_filters(spark: SparkSession, d: str) -> DataFrame:
+    return exact.eligible(_docs(spark, d), _OPTIONS).select("id", "path", "size")
+
+
+@_query("SELECT id, (parent = '/corpus/Video/en' OR starts_with(path, '/corpus/Video/en/')) OR starts_with(path, '/corpus/backup/') AS allowed FROM files", _FILES)
+def allowed_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", paths.allowed("path", ["/corpus/Video/en", "/corpus/backup/"]).alias("allowed"))
+
+
+@_query("SELECT id, path FROM files WHERE nlink <= 1 UNION ALL SELECT arg_min(id, path), min(path) FROM files WHERE nlink > 1 GROUP BY dev, inode", _FILES)
+def hardlink_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return exact.collapse_hardlinks(_docs(spark, d).drop("content")).select("id", "path")
+
+
+@_query("SELECT min(event_id) AS id, event_id % 4 AS scan_id, '/corpus/u' || user_id AS path FROM events GROUP BY event_id % 4, user_id")
+def unique_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = made.events(spark, d).select(F.col("event_id").alias("id"), (F.col("event_id") % 4).alias("scan_id"), F.concat(F.lit("/corpus/u"), F.col("user_id").cast("string")).alias("path"))
+    return exact.unique_paths(rows)
+
+
+@_query("SELECT split_part(substr(parent, 9), '/', 1) AS name, '/corpus/' || split_part(substr(parent, 9), '/', 1) AS path, count(*) AS file_count, split_part(substr(parent, 9), '/', 1) = 'downloads' AS skipped FROM files WHERE starts_with(parent, '/corpus/') GROUP BY 1", _FILES)
+def browse_children(spark: SparkSession, d: str) -> DataFrame:
+    return folders.browse(_docs(spark, d), "/corpus", ("downloads",))
+
+
+_CHANGED = "(parent LIKE '%/en' AND contains(parent, 'o'))"
+
+
+@_query(f"SELECT id, CAST(9 AS BIGINT) AS scan_id, path, size FROM files WHERE CASE WHEN {_CHANGED} THEN id % 4 <> 0 ELSE status = 'present' AND id % 5 <> 0 END", _FILES)
+def carry_over(spark: SparkSession, d: str) -> DataFrame:
+    files = _docs(spark, d).drop("content")
+    dirs = files.groupBy(F.col("parent").alias("path")).agg(F.lit(1000.0).alias("mtime"))
+    changed = F.col("path").like("%/en") & F.col("path").contains("o")
+    known = dirs.withColumn("mtime", F.when(changed, 900.0).otherwise(1000.0004))
+    return caches.carry_over(dirs, known, files.filter("id % 5 <> 0"), files.filter("id % 4 <> 0"), 9).select("id", "scan_id", "path", "size")
+
+
+# ---- the exact cascade
+
+
+@_query("SELECT id, size FROM files WHERE size > 0 AND size IN (SELECT size FROM files GROUP BY size HAVING count(*) > 1)", _FILES)
+def size_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return exact.size_candidates(_docs(spark, d)).select("id", "size")
+
+
+_QUICK = "quick AS (SELECT id, size, CASE WHEN size <= 65536 THEN md5(size || text) ELSE md5(encode(CAST(size AS VARCHAR)) || encode(text)[1:65536] || CASE WHEN size > 131072 THEN encode(text)[size - 65535:size] ELSE ''::BLOB END) END AS quick FROM files)"
+
+
+@_query("SELECT q.id, q.size, q.quick FROM quick q WHERE size > 0 AND (size, quick) IN (SELECT (size, quick) FROM quick GROUP BY size, quick HAVING count(*) > 1)", f"{_FILES}, {_QUICK} ")
+def quick_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return exact.quick_candidates(_docs(spark, d)).select("id", "size", "quick")
+
+
+@_query("SELECT md5, size, string_agg(id, ',' ORDER BY id) AS ids FROM files WHERE size > 0 GROUP BY md5, size HAVING count(*) > 1", _FILES)
+def md5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return exact.md5_groups(_docs(spark, d)).select("md5", "size", _csv("ids").alias("ids"))
+
+
+@_query(
+    """, short AS (SELECT id, size, substr(md5, 1, 1) AS md5, text FROM files WHERE size > 0),
+parts AS (SELECT md5, size, text, min(id) AS least, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM short GROUP BY md5, size, text),
+named AS (SELECT *, row_number() OVER (PARTITION BY md5, size ORDER BY least) - 1 AS nth FROM parts)
+SELECT md5 || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END AS signature, true AS verified, size, ids FROM named WHERE n > 1""", _FILES)
+def verified_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """With hashes cut to one character, so that there are collisions to part."""
+    files = _docs(spark, d).withColumn("md5", F.substring("md5", 1, 1))
+    return exact.verified_clusters(files).withColumn("ids", _csv("ids"))
+
+
+@_query(f"SELECT {_GROUP_ROW} FROM groups WHERE kind = 'exact'", _SCAN)
+def exact_groups(spark: SparkSession, d: str) -> DataFrame:
+    files = _docs(spark, d)
+    clusters = exact.verified_clusters(files.drop("content"), verify=False).withColumn("verified", F.lit(True))
+    return groups.exact_groups(files, clusters)
+
+
+@_query(f"SELECT {_GROUP_ROW} FROM groups WHERE kind = 'exact'", _SCAN)
+def exact_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """The same by size, partial hash, whole hash and content in turn, and over known hashes forgotten."""
+    files = _docs(spark, d).drop("md5")
+    return groups.exact_groups(files, cut(exact.cascade(files)))
+
+
+_VERSIONS = "versions AS (SELECT '/corpus/u' || id AS path, CAST(id % 13 AS BIGINT) AS size, CAST(id * 60 + 1704067200 AS DOUBLE) + 0.0004 AS mtime, id FROM files)"
+
+
+@_query("SELECT v.id, c.quick, c.md5, c.fuzzy, c.dhash FROM versions v LEFT JOIN hash_cache c ON c.path = v.path AND c.size = v.size AND abs(c.mtime - v.mtime) < 0.001", f"{_FILES}, {_VERSIONS}, {made.HASH_LOG_SQL} ")
+def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    files = _docs(spark, d).select("id", F.concat(F.lit("/corpus/u"), F.col("id").cast("string")).alias("path"), (F.col("id") % 13).alias("size"), (F.col("mtime") + 0.0004).alias("mtime"))
+    return caches.cache_lookup(files, caches.hash_upsert(made.hash_log(spark, d))).select("id", *caches.HASHES)
+
+
+@_query("SELECT * FROM hash_cache", f"WITH {made.HASH_LOG_SQL} ")
+def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return caches.hash_upsert(made.hash_log(spark, d))
+
+
+@_query("SELECT * FROM hash_cache WHERE path NOT IN (SELECT '/corpus/u' || n_nationkey FROM nation)", f"WITH {made.HASH_LOG_SQL} ")
+def cache_invalidate(spark: SparkSession, d: str) -> DataFrame:
+    gone = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("/corpus/u"), F.col("n_nationkey").cast("string")).alias("path"))
+    return caches.invalidate(caches.hash_upsert(made.hash_log(spark, d)), gone)
+
+
+_VERIFY = """WITH seen AS (
+  SELECT '/u' || user_id AS p, '/k' || (event_id % 50) AS q, user_id AS ps, event_id % 50 AS qs, event_type <> 'error' AS same, CAST(event_id AS DOUBLE) AS seen_at FROM events),
+pairs AS (SELECT least(p, q) AS a_path, greatest(p, q) AS b_path, CASE WHEN p > q THEN qs ELSE ps END AS a_size, CASE WHEN p > q THEN ps ELSE qs END AS b_size, same, seen_at FROM seen),
+verify_cache AS (SELECT a_path, b_path, arg_max(a_size, seen_at) AS a_size, arg_max(b_size, seen_at) AS b_size, arg_max(same, seen_at) AS same, max(seen_at) AS seen_at FROM pairs GROUP BY a_path, b_path)
+"""
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    return made.events(spark, d).select(
+        F.concat(F.lit("/u"), F.col("user_id").cast("string")).alias("a_path"), F.concat(F.lit("/k"), (F.col("event_id") % 50).cast("string")).alias("b_path"), F.col("user_id").alias("a_size"), (F.col("event_id") % 50).alias("b_size"),
+        F.lit(5.0).alias("a_mtime"), F.lit(6.0).alias("b_mtime"), (F.col("event_type") != "error").alias("same"), F.col("event_id").cast("double").alias("seen_at"),
+    )
+
+
+@_query("SELECT a_path, b_path, a_size, b_size, same, seen_at FROM verify_cache", _VERIFY)
+def verify_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return caches.verify_upsert(_compared(spark, d)).select("a_path", "b_path", "a_size", "b_size", "same", "seen_at")
+
+
+@_query("SELECT p.id, coalesce(CAST(c.same AS VARCHAR), 'unknown') AS same FROM (SELECT n_nationkey AS id, '/k' || n_nationkey AS a_path, '/u' || (n_nationkey * 2) AS b_path, n_nationkey AS a_size, n_nationkey * 2 - n_nationkey % 2 AS b_size FROM nation) p LEFT JOIN verify_cache c ON c.a_path = p.a_path AND c.b_path = p.b_path AND c.a_size = p.a_size AND c.b_size = p.b_size", _VERIFY)
+def verify_lookup(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("long")
+    pairs = spark.read.parquet(f"{d}/nation.parquet").select(
+        F.col("n_nationkey").alias("id"), F.concat(F.lit("/u"), (k * 2).cast("string")).alias("a_path"), F.concat(F.lit("/k"), k.cast("string")).alias("b_path"), (k * 2 - k % 2).alias("a_size"), k.alias("b_size"),
+        F.lit(5.0).alias("a_mtime"), F.lit(6.0).alias("b_mtime"),
+    )
+    return caches.verify_lookup(pairs, caches.verify_upsert(_compared(spark, d))).select("id", F.coalesce(F.col("same").cast("string"), F.lit("unknown")).alias("same"))
+
+
+# ---- functions
+
+
+@_query("SELECT id, CASE WHEN size <= 0 THEN 0 ELSE length(bin(size)) END AS band, CAST(count(*) OVER (PARTITION BY CASE WHEN size <= 0 THEN 0 ELSE length(bin(size)) END) AS BIGINT) AS files FROM files", _FILES)
+def size_bands(spark: SparkSession, d: str) -> DataFrame:
+    files = _docs(spark, d).select("id", paths.bit_length("size").cast("long").alias("band"))
+    return files.join(files.groupBy("band").agg(F.count("*").alias("files")), "band").select("id", "band", "files")
+
+
+@_query("SELECT id, CASE WHEN size < 192 THEN 0 ELSE CAST(3 * (1 << ((size > 192)::INT + (size > 384)::INT + (size > 768)::INT + (size > 1536)::INT + (size > 3072)::INT + (size > 6144)::INT + (size > 12288)::INT)) AS BIGINT) END AS blocksize FROM files", _FILES)
+def blocksize_for(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", paths.signature_blocksize("size", 16384).alias("blocksize"))
+
+
+@_query("SELECT id, coalesce(TRY_CAST(split_part(CASE WHEN id % 3 = 0 THEN 'x:y' ELSE id || ':ab:c' END, ':', 1) AS INTEGER), 0) AS blocksize FROM files", _FILES)
+def parsed_blocksize(spark: SparkSession, d: str) -> DataFrame:
+    s = F.when(F.col("id") % 3 == 0, "x:y").otherwise(F.concat(F.col("id").cast("string"), F.lit(":ab:c")))
+    return _docs(spark, d).select("id", paths.parsed_blocksize(s).alias("blocksize"))
+
+
+@_query(
+    """SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', n / 1073741824.0::DOUBLE) END AS shown,
+strftime(make_timestamp(CAST(mtime * 1000000 AS BIGINT)), '%Y-%m-%d') AS day FROM (SELECT id, size * CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 997 ELSE 1000003 END AS n, mtime FROM files)""", _FILES)
+def human_bytes(spark: SparkSession, d: str) -> DataFrame:
+    factor = F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 997).otherwise(1000003)
+    return _docs(spark, d).select("id", paths.human_bytes(F.col("size") * factor).alias("shown"), paths.day("mtime").alias("day"))
+
+
+@_query(
+    """SELECT url, regexp_extract(url, '([^/]*)$', 1) AS base, CASE WHEN regexp_replace(url, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(url, '/[^/]*$', '') END AS dir,
+lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '[^.].*([.][^.]*)$', 1)) AS ext, CASE WHEN starts_with(url, 'http://') THEN substr(url, 7) ELSE regexp_extract(url, '([^/]*)$', 1) END AS below FROM pages""")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    url = F.col("url")
+    return spark.read.parquet(f"{d}/pages.parquet").select("url", paths.basename(url).alias("base"), paths.dirname(url).alias("dir"), paths.extension(paths.basename(url)).alias("ext"), paths.below(url, F.lit("http:/")).alias("below"))
+
+
+_BARE = r"regexp_replace(regexp_replace(lower(regexp_replace(name, '[.]txt$', '')), '[-_\s]*[(]?\b(copia|copy|kopie|[0-9]{1,3})[)]?$', ''), '[^a-z0-9]+', '', 'g')"
+
+
+@_query(f"SELECT id, {_BARE} AS bare FROM files", _FILES)
+def bare_names(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", names.bare_name("name").alias("bare"))
+
+
+@_query()
+def name_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Names of exact copies compared."""
+    s = made.scan(spark, d)
+    rows = s.members.filter("group_id % 2 = 0").join(s.files.select(F.col("id").alias("file_id"), "name"), "file_id").select("group_id", "file_id", "name")
+    other = rows.select("group_id", F.col("file_id").alias("other"), F.col("name").alias("other_name"))
+    return rows.join(other, "group_id").filter("file_id < other").select("file_id", "other", names.name_similarity("name", "other_name").alias("similarity"))
+
+
+_FOLDER = "coalesce(nullif(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g'), 'e?s$', ''), ''), regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g'))"
+_WORDS = ", ".join(f"('{w}', {k})" for k, g in enumerate(names.SYNONYMS) for w in sorted(g))
+
+
+@_query(
+    f"""WITH words(w, g) AS (VALUES {_WORDS}), f AS (SELECT unnest([{", ".join(f"'{x}'" for x in (*catalogue.FOLDERS, "Movies", "movie", "Filme", "Backups", "backup2", "new_folder", "Neu", "pro jects", "s", "es", "photobook", "PHOTO"))}]) AS x),
+n AS (SELECT x, lower(x) AS l, {_FOLDER.format(x="x")} AS n FROM f),
+p AS (SELECT a.x AS a, b.x AS b, a.l AS la, b.l AS lb, a.n AS na, b.n AS nb FROM n a CROSS JOIN n b)
+SELECT a, b, why <> '' AS related, why FROM (SELECT a, b, CASE WHEN la = lb THEN 'same name' WHEN na <> '' AND na = nb THEN 'same word in another form'
+  WHEN EXISTS (SELECT 1 FROM words s JOIN words t ON s.g = t.g WHERE (s.w = la AND t.w = lb) OR (s.w = na AND t.w = nb)) THEN 'synonyms'
+  WHEN na <> '' AND nb <> '' AND (starts_with(na, nb) OR starts_with(nb, na)) AND abs(length(na) - length(nb)) <= 4 THEN 'one begins like the other' ELSE '' END AS why FROM p)""")
+def kinship_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """The tests that SQL can express, over folder names against each other."""
+    f = spark.createDataFrame([(x,) for x in (*catalogue.FOLDERS, "Movies", "movie", "Filme", "Backups", "backup2", "new_folder", "Neu", "pro jects", "s", "es", "photobook", "PHOTO")], "x string")
+    rows = f.select(F.col("x").alias("a")).crossJoin(f.select(F.col("x").alias("b")))
+    return rows.withColumn("k", names.kinship("a", "b", F.lit(0.0))).select("a", "b", "k.related", "k.why")
+
+
+@_query("SELECT a.id AS a, b.id AS b, CAST(round_even((64 - bit_count(xor(a.bits, b.bits))) * 100.0::DOUBLE / 64, 0) AS INTEGER) AS similar FROM bits a JOIN bits b ON b.id = a.id + 1", f"{_FILES}, bits AS (SELECT id, CAST('0x' || substr(md5, 1, 15) AS BIGINT) AS bits FROM files) ")
+def dhash_similarity(spark: SparkSession, d: str) -> DataFrame:
+    bits = _docs(spark, d).select("id", F.conv(F.substring("md5", 1, 15), 16, 10).cast("long").alias("bits"))
+    other = bits.select(F.col("id").alias("b"), (F.col("id") - 1).alias("id"), F.col("bits").alias("y"))
+    return bits.join(other, "id").select(F.col("id").alias("a"), "b", signatures.dhash_similarity(F.col("bits"), F.col("y")).alias("similar"))
+
+
+# ---- near duplicates
+
+
+def _bits(spark: SparkSession, d: str) -> DataFrame:
+    base = F.conv(F.substring(F.md5(F.floor(F.col("id") / 3).cast("string")), 1, 15), 16, 10).cast("long")
+    flips = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, 31).otherwise(31 << 20 | 7 << 40).cast("long")
+    return _docs(spark, d).select("id", base.bitwiseXOR(flips).alias("bits"))
+
+
+@_query("SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance FROM bits a JOIN bits b ON a.id < b.id WHERE bit_count(xor(a.bits, b.bits)) <= 8", f"{_FILES}, bits AS (SELECT id, xor(CAST('0x' || substr(md5(CAST(id // 3 AS VARCHAR)), 1, 15) AS BIGINT), CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 31 ELSE {31 << 20 | 7 << 40} END::BIGINT) AS bits FROM files) ")
+def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy.hamming_pairs(_bits(spark, d))
+
+
+@_query(
+    """, e AS (SELECT id AS a, id + 1 + size % 5 AS b FROM files WHERE size % 3 = 0), g(node, root) AS (SELECT a, a FROM e UNION SELECT b, b FROM e UNION SELECT x.b, g.root FROM g JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) x ON x.a = g.node)
+SELECT node, min(root) AS component FROM g GROUP BY node""", _FILES.replace("WITH", "WITH RECURSIVE", 1))
+def components_on_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = _docs(spark, d).filter("size % 3 = 0").select(F.col("id").alias("a"), (F.col("id") + 1 + F.col("size") % 5).alias("b"))
+    return components(edges)
+
+
+@_query(
+    """, first AS (SELECT md5, size, min(id) AS id FROM files GROUP BY md5, size), c AS (SELECT f.id, length(bin(f.size)) AS band FROM files f JOIN first USING (md5, size, id) WHERE f.size >= 192),
+n AS (SELECT band, count(*) AS n FROM c GROUP BY band)
+SELECT c.id FROM c WHERE (SELECT sum(n) FROM n WHERE n.band BETWEEN c.band - 1 AND c.band + 1) > 1""", _FILES)
+def fuzzy_eligible(spark: SparkSession, d: str) -> DataFrame:
+    files = _docs(spark, d)
+    return fuzzy.fuzzy_eligible(files, fuzzy.redundant(exact.md5_groups(files)), NEAR).select("id")
+
+
+@_query()
+def ctph_signatures(spark: SparkSession, d: str) -> DataFrame:
+    files = _docs(spark, d)
+    return files.select("id", "size", ctph.signature_column(F.col("content"), F.col("size"), NEAR.fuzzy_max_bytes).alias("fuzzy"))
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = _docs(spark, d)
+    clusters = cut(exact.md5_groups(files))
+    return files, clusters, fuzzy.near_pairs(files, clusters, NEAR)
+
+
+@_query()
+def near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d)[2]
+
+
+@_query()
+def near_groups(spark: SparkSession, d: str) -> DataFrame:
+    files, clusters, pairs = _near(spark, d)
+    members = fuzzy.near_members(pairs, files, clusters.select(F.explode("ids").alias("id")), NEAR)
+    return groups.group_rows(members, files, "near")
+
+
+_IMAGES = f"{_FILES}, bits AS (SELECT id, xor(CAST('0x' || substr(md5(CAST(id // 3 AS VARCHAR)), 1, 15) AS BIGINT), CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 31 ELSE {31 << 20 | 7 << 40} END::BIGINT) AS bits FROM files) "
+
+
+@_query("SELECT a.id AS a, b.id AS b, CAST(round_even((64 - bit_count(xor(a.bits, b.bits))) * 100.0::DOUBLE / 64, 0) AS INTEGER) AS score FROM bits a JOIN bits b ON a.id < b.id WHERE round_even((64 - bit_count(xor(a.bits, b.bits))) * 100.0::DOUBLE / 64, 0) >= 90", _IMAGES)
+def image_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy.image_pairs(_bits(spark, d), ScanOptions(near_threshold=90))
+
+
+# ---- questions to a scan
+
+
+@_query(f"SELECT {_GROUP_ROW} FROM groups", _SCAN)
+def all_groups(spark: SparkSession, d: str) -> DataFrame:
+    return made.scan(spark, d).groups
+
+
+_PAGE = "SELECT id, scan_id, kind, signature, similarity, verified, total_bytes, label, files AS file_count, largest AS max_size, wasted AS wasted_bytes, folders AS folder_span, sugg_source, sugg_confidence, sugg_summary, keep_file_id, merge_plan FROM matching "
+
+
+def _page(spark: SparkSession, d: str, **p: object) -> DataFrame:
+    s = made.scan(spark, d)
+    return results.groups_page(s.groups, s.members, s.files, s.suggestions, results.GroupParams(**p))
+
+
+@_query(_PAGE.replace("FROM matching ", "FROM (SELECT * FROM matching ORDER BY wasted_bytes DESC, id LIMIT 100)"), _SCAN)
+def groups_page(spark: SparkSession, d: str) -> DataFrame:
+    return _page(spark, d)
+
+
+@_query(_PAGE.replace("FROM matching ", "FROM (SELECT * FROM matching WHERE kind = 'near' AND similarity >= 75 AND max_size >= 500 ORDER BY sugg_confidence ASC NULLS FIRST, id LIMIT 20 OFFSET 3)"), _SCAN)
+def groups_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _page(spark, d, kind="near", min_similarity=75, min_size=500, sort="confidence", dir="asc", limit=20, offset=3)
+
+
+@_query("SELECT id, label FROM matching WHERE id IN (SELECT m.group_id FROM group_members m JOIN files f ON f.id = m.file_id WHERE f.path ILIKE '%VIDEOS/en/report 1_%')", _SCAN)
+def search_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _page(spark, d, q="VIDEOS/en/report 1_", limit=-1).select("id", "label")
+
+
+@_query("SELECT count(*) AS total FROM matching WHERE sugg_source IS NOT NULL AND kind = 'exact'", _SCAN)
+def groups_total(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return results.groups_total(s.groups, s.members, s.files, s.suggestions, results.GroupParams(kind="exact", suggested_only=True))
+
+
+@_query("SELECT count(*) AS groups, CAST(coalesce(sum(wasted), 0) AS BIGINT) AS wasted, CAST(coalesce(sum(files), 0) AS BIGINT) AS files FROM live WHERE files > 1", _SCAN)
+def groups_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return results.groups_summary(s.groups, s.members, s.files)
+
+
+@_query(
+    "SELECT m.group_id, m.file_id, m.similarity, f.path, f.parent, f.name, f.ext, f.size, f.mtime, f.status, f.md5, false AS is_image, CASE WHEN m.group_id % 10 <> 4 THEN v.action END AS action, "
+    "CASE WHEN m.group_id % 10 = 4 THEN NULL WHEN v.action = 'keep' THEN 'best place and name' WHEN v.kind = 'near' THEN CAST(round_even(v.similarity, 0) AS INTEGER) || '% alike; may be another version' WHEN v.action = 'review' THEN 'kept on purpose in a backup or archive' WHEN v.action = 'delete' THEN 'same content as the kept copy' END AS reason "
+    "FROM group_members m JOIN files f ON f.id = m.file_id LEFT JOIN verdicts v ON v.group_id = m.group_id AND v.file_id = m.file_id", _SCAN)
+def group_members_detail(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return results.group_members(s.members, s.files, s.suggestions)
+
+
+@_query("SELECT g.id, g.label, g.wasted_bytes, s.summary, s.confidence FROM groups g LEFT JOIN suggestions s ON s.group_id = g.id ORDER BY g.wasted_bytes DESC, g.id LIMIT 20", _SCAN)
+def report_top(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return results.report_top(s.groups, s.suggestions).select("id", "label", "wasted_bytes", "summary", "confidence")
+
+
+@_query("SELECT id, CASE WHEN kind = 'exact' THEN 'exact' WHEN similarity >= 90 THEN 'high' WHEN similarity >= 75 THEN 'mid' ELSE 'low' END AS badge FROM groups", _SCAN)
+def similarity_badge(spark: SparkSession, d: str) -> DataFrame:
+    return made.scan(spark, d).groups.select("id", results.badge(F.col("kind"), F.col("similarity")).alias("badge"))
+
+
+_LATEST = f"WITH {made.SCANS_SQL} "
+
+
+@_query("SELECT 'any' AS which, max(id) AS id FROM scans WHERE state IN ('done', 'cancelled') UNION ALL SELECT 'before', max(id) FROM scans WHERE root = '/corpus/1' AND state = 'done' AND id < 20 HAVING max(id) IS NOT NULL", _LATEST)
+def latest_scan(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scans(spark, d)
+    return results.latest_scan(s).select(F.lit("any").alias("which"), "id").unionByName(results.previous_scan(s, 20, "/corpus/1").select(F.lit("before").alias("which"), "id"))
+
+
+@_query("SELECT id, root, state FROM scans ORDER BY id DESC LIMIT 50", _LATEST)
+def recent_scans(spark: SparkSession, d: str) -> DataFrame:
+    return results.recent_scans(made.scans(spark, d)).select("id", "root", "state")
+
+
+@_query("SELECT id, CASE WHEN state = 'running' THEN 'error' ELSE state END AS state, CASE WHEN state = 'running' THEN 5.0::DOUBLE ELSE finished_at END AS finished_at, CASE WHEN state = 'running' THEN 'interrupted' ELSE error END AS error FROM scans", _LATEST)
+def crash_recovery(spark: SparkSession, d: str) -> DataFrame:
+    return caches.finished(made.scans(spark, d), 5.0).select("id", "state", "finished_at", "error")
+
+
+# ---- folders
+
+
+_PAIRS = """SELECT least(fa.parent, fb.parent) AS a, greatest(fa.parent, fb.parent) AS b, count(*) AS shared_files, CAST(sum(least(fa.size, fb.size)) AS BIGINT) AS shared_bytes
+FROM group_members ma JOIN group_members mb ON mb.group_id = ma.group_id AND mb.file_id > ma.file_id JOIN files fa ON fa.id = ma.file_id JOIN files fb ON fb.id = mb.file_id WHERE fa.parent <> fb.parent GROUP BY 1, 2"""
+
+
+@_query(_PAIRS, _SCAN)
+def folder_pairs(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return folders.folder_pairs(s.members, s.files)
+
+
+@_query(
+    f""", pairs AS ({_PAIRS}), totals AS (SELECT parent, count(*) AS n FROM files GROUP BY parent)
+SELECT p.a, p.b, p.shared_files, p.shared_bytes, coalesce(x.n, 0) AS a_files, coalesce(y.n, 0) AS b_files, CAST(round_even(least(p.shared_files / CAST(greatest(least(coalesce(x.n, 0), coalesce(y.n, 0)), 1) AS DOUBLE), 1) * 100, 0) AS INTEGER) AS overlap
+FROM (SELECT * FROM pairs ORDER BY shared_bytes DESC, a, b LIMIT 60) p LEFT JOIN totals x ON x.parent = p.a LEFT JOIN totals y ON y.parent = p.b""", _SCAN)
+def folder_overlap(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return folders.folder_report(s.members, s.files, related=False)
+
+
+@_query()
+def folder_report(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return folders.folder_report(s.members, s.files)
+
+
+# ---- suggestions
+
+
+@_query("SELECT group_id, file_id, round(keep_score, 6) AS keep_score FROM scored", _SCAN)
+def keep_score(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    rows = s.members.join(s.files.filter("status = 'present'").select(F.col("id").alias("file_id"), "path", "mtime", "size"), "file_id")
+    return rows.select("group_id", "file_id", F.round(suggest.keep_score(F.col("path"), F.col("mtime"), F.col("size"), made.NOW), 6).alias("keep_score"))
+
+
+@_query("SELECT group_id, file_id, place FROM ranked", _SCAN)
+def keeper_rank(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return suggest.ranked(s.groups, s.members, s.files, made.NOW).select("group_id", "file_id", "place")
+
+
+@_query("SELECT group_id, file_id, action FROM verdicts", _SCAN)
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return suggest.verdicts(suggest.ranked(s.groups, s.members, s.files, made.NOW)).select("group_id", "file_id", "action")
+
+
+@_query("SELECT group_id, scan_id, source, keep_file_id, confidence, summary, merge_plan FROM suggestions", _SCAN)
+def suggestions(spark: SparkSession, d: str) -> DataFrame:
+    return made.scan(spark, d).suggestions.select("group_id", "scan_id", "source", "keep_file_id", "confidence", "summary", "merge_plan")
+
+
+@_query("SELECT group_id, file_id FROM verdicts WHERE action = 'delete' AND group_id % 10 <> 4", _SCAN)
+def suggested_selection(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return results.suggested_selection(s.members, s.files, s.suggestions)
+
+
+@_query("SELECT m.group_id, m.file_id, row_number() OVER (PARTITION BY m.group_id ORDER BY f.mtime DESC, m.file_id) = 1 AS is_newest FROM group_members m JOIN files f ON f.id = m.file_id WHERE f.status = 'present'", _SCAN)
+def keep_newest_rest(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return folders.newest_kept(s.members, s.files)
+
+
+# ---- actions
+
+
+_ASKED = ", asked AS (SELECT DISTINCT file_id FROM group_members WHERE group_id % 3 = 0 AND group_id % 2 = 0 UNION SELECT id FROM files WHERE id % 11 = 0 UNION SELECT CAST(-1 AS BIGINT)), kept AS (SELECT min(m.group_id) AS group_id, m.file_id FROM (SELECT m.group_id, min(m.file_id) AS file_id FROM group_members m JOIN files f ON f.id = m.file_id LEFT JOIN asked a ON a.file_id = m.file_id WHERE f.status = 'present' GROUP BY m.group_id HAVING count(*) = count(a.file_id)) m GROUP BY m.file_id)"
+
+
+def _asked(s: made.Scan) -> DataFrame:
+    one = s.files.sparkSession.range(1).select(F.lit(-1).cast("long").alias("file_id"))
+    return s.members.filter("group_id % 6 = 0").select("file_id").unionByName(s.files.filter("id % 11 = 0").select(F.col("id").alias("file_id"))).unionByName(one).distinct()
+
+
+@_query(_ASKED + " SELECT file_id, group_id FROM kept", _SCAN)
+def survivor_check(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return actions.last_copies(_asked(s), s.members, s.files)
+
+
+_CASES = """CASE WHEN f.id IS NULL THEN 'failed' WHEN f.status <> 'present' OR k.file_id IS NOT NULL THEN 'skipped' WHEN starts_with(f.path, '/corpus/downloads/') THEN 'failed' WHEN a.file_id % 23 = 0 THEN 'skipped' ELSE 'deleted' END"""
+_REASON = "CASE WHEN f.id IS NULL THEN 'unknown id' WHEN f.status <> 'present' THEN 'already ' || f.status WHEN k.file_id IS NOT NULL THEN 'last copy of group ' || k.group_id WHEN starts_with(f.path, '/corpus/downloads/') THEN 'outside the roots' WHEN a.file_id % 23 = 0 THEN 'no longer there' END"
+_ROOTS = tuple(f"/corpus/{f}" for f in catalogue.FOLDERS if f != "downloads")
+
+
+def _delete(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    s = made.scan(spark, d)
+    scans = spark.range(1).select(F.lit(1).cast("long").alias("id"), F.lit("/corpus").alias("root"))
+    gone = s.files.filter("id % 23 = 0").select(F.col("id").alias("file_id"))
+    return actions.delete_plan(_asked(s), s.members, s.files, scans, ScanOptions(roots=_ROOTS), mode, gone)
+
+
+@_query(_ASKED + f", plan AS (SELECT a.file_id, f.scan_id, f.path, f.size, {_CASES} AS outcome, {_REASON} AS message FROM asked a LEFT JOIN files f ON f.id = a.file_id LEFT JOIN kept k ON k.file_id = a.file_id) SELECT *, CASE WHEN outcome = 'deleted' THEN '/corpus/.mirrorlake-trash/scan-1/' || substr(path, 9) END AS dst_path FROM plan", _SCAN)
+def delete_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _delete(spark, d, "quarantine")
+
+
+@_query(_ASKED + f", plan AS (SELECT f.size, {_CASES} AS outcome FROM asked a LEFT JOIN files f ON f.id = a.file_id LEFT JOIN kept k ON k.file_id = a.file_id) SELECT outcome, count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM plan GROUP BY outcome", _SCAN)
+def delete_totals(spark: SparkSession, d: str) -> DataFrame:
+    return actions.outcome_totals(_delete(spark, d, "permanent"))
+
+
+@_query("SELECT id, '/corpus/.mirrorlake-trash/scan-1/' || substr(path, 9) AS quarantine, '/corpus/' || split_part(path, '/', 3) || '/#recycle/' || array_to_string(string_split(path, '/')[4:], '/') AS recycle FROM files", _FILES)
+def quarantine_targets(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", actions.quarantine_target(F.col("path"), F.lit("/corpus"), F.col("scan_id")).alias("quarantine"), actions.recycle_target(F.col("path"), ["/corpus"]).alias("recycle"))
+
+
+@_query(
+    _ASKED + """, free AS (SELECT m.group_id, min(m.file_id) AS twin_id FROM group_members m JOIN files f ON f.id = m.file_id WHERE f.status = 'present' AND m.file_id NOT IN (SELECT file_id FROM asked) GROUP BY m.group_id),
+twin AS (SELECT m.file_id, min(twin_id) AS twin_id FROM group_members m JOIN asked USING (file_id) JOIN free USING (group_id) GROUP BY m.file_id),
+plan AS (SELECT a.file_id, f.path, t.path AS t_path, CASE WHEN f.id IS NULL THEN 'unknown id' WHEN f.status <> 'present' THEN 'already ' || f.status WHEN t.id IS NULL THEN 'no other copy to point at' WHEN f.inode = t.inode THEN 'one file already' WHEN f.size <> t.size THEN 'sizes differ' WHEN f.md5 <> t.md5 THEN 'contents differ' END AS message
+  FROM asked a LEFT JOIN files f ON f.id = a.file_id LEFT JOIN twin w ON w.file_id = a.file_id LEFT JOIN files t ON t.id = w.twin_id)
+SELECT file_id, path, CASE WHEN message IS NULL THEN 'deleted' WHEN message = 'unknown id' THEN 'failed' ELSE 'skipped' END AS outcome, message, CASE WHEN message IS NULL THEN t_path END AS dst_path FROM plan""", _SCAN)
+def link_plan(spark: SparkSession, d: str) -> DataFrame:
+    s = made.scan(spark, d)
+    return actions.link_plan(_asked(s), s.members, s.files, ScanOptions()).select("file_id", "path", "outcome", "message", "dst_path")
+
+
+_LOG = f"WITH {made.ACTIONS_SQL} "
+
+
+@_query("SELECT * FROM actions WHERE ok AND dst_path IS NOT NULL AND action NOT LIKE 'simulate:%' AND action <> 'restore'", _LOG)
+def restore_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return actions.offered(made.actions(spark, d))
+
+
+@_query(
+    """, r AS (SELECT id, file_id, dst_path AS src_path, src_path AS dst_path FROM actions WHERE ok AND dst_path IS NOT NULL AND action NOT LIKE 'simulate:%' AND id % 3 = 0)
+SELECT id AS action_id, file_id, src_path, dst_path, CASE WHEN id % 2 = 1 OR file_id % 5 = 0 THEN 'failed' ELSE 'restored' END AS outcome, CASE WHEN id % 2 = 1 THEN 'what was moved is gone' WHEN file_id % 5 = 0 THEN 'the old place is taken' END AS message FROM r""", _LOG)
+def restore_plan(spark: SparkSession, d: str) -> DataFrame:
+    log = made.actions(spark, d)
+    there = log.filter("id % 2 = 0").select(F.col("dst_path").alias("path")).unionByName(log.filter("file_id % 5 = 0").select(F.col("src_path").alias("path"))).dropna()
+    return actions.restore_plan(log, log.filter("id % 3 = 0").select(F.col("id").alias("action_id")), there).select("action_id", "file_id", "src_path", "dst_path", "outcome", "message")
+
+
+@_query("SELECT * FROM actions WHERE scan_id = 2 ORDER BY id DESC LIMIT 200", _LOG)
+def action_log(spark: SparkSession, d: str) -> DataFrame:
+    return results.action_log(made.actions(spark, d), 2)
+
+
+@_query("SELECT id AS file_id, 'deleted' AS status FROM files WHERE status = 'quarantined'", _FILES)
+def empty_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    return actions.emptied(_docs(spark, d), 1)
+
+
+@_query("SELECT f.id, coalesce(s.status, f.status) AS status FROM files f LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id) s ON s.user_id = f.id", _FILES)
+def status_current(spark: SparkSession, d: str) -> DataFrame:
+    log = made.events(spark, d).select(F.col("user_id").alias("file_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
+    return caches.current_status(_docs(spark, d).drop("content"), log).select("id", "status")
+
+
+# ---- housekeeping
+
+
+_STORE = f"WITH {made.SCANS_SQL}, {made.SCAN_FILES_SQL} "
+
+
+@_query("SELECT 'scans' AS table_name, count(*) AS rows FROM scans UNION ALL SELECT 'files', count(*) FROM scan_files UNION ALL SELECT 'groups', count(*) FROM scan_groups", _STORE)
+def usage_counts(spark: SparkSession, d: str) -> DataFrame:
+    return results.usage({"scans": made.scans(spark, d), "files": made.scan_files(spark, d), "groups": made.scan_groups(spark, d)})
+
+
+@_query("SELECT s.id, s.root, s.state, (SELECT count(*) FROM scan_files f WHERE f.scan_id = s.id) AS files, (SELECT count(*) FROM scan_groups g WHERE g.scan_id = s.id) AS groups FROM scans s", _STORE)
+def usage_by_scan(spark: SparkSession, d: str) -> DataFrame:
+    return results.usage_by_scan(made.scans(spark, d), made.scan_files(spark, d), made.scan_groups(spark, d))
+
+
+@_query("SELECT f.scan_id, count(*) AS files_seen, CAST(sum(size) AS BIGINT) AS bytes_seen, count(md5) AS files_hashed, CAST(coalesce(sum(size) FILTER (WHERE md5 IS NOT NULL), 0) AS BIGINT) AS bytes_hashed, coalesce(min(g.n), 0) AS groups_found, CAST(coalesce(min(g.w), 0) AS BIGINT) AS wasted_bytes FROM scan_files f LEFT JOIN (SELECT scan_id, count(*) AS n, sum(wasted_bytes) AS w FROM scan_groups GROUP BY scan_id) g ON g.scan_id = f.scan_id GROUP BY f.scan_id", _STORE)
+def scan_counters(spark: SparkSession, d: str) -> DataFrame:
+    return results.scan_counters(made.scan_files(spark, d), made.scan_groups(spark, d))
+
+
+@_query("SELECT id, row_number() OVER (ORDER BY id DESC) > 3 AS doomed FROM scans", _STORE)
+def prune_scans(spark: SparkSession, d: str) -> DataFrame:
+    return caches.prune_plan(made.scans(spark, d))
+
+
+@_query(", gone AS (SELECT id FROM scans WHERE id NOT IN (SELECT id FROM scans ORDER BY id DESC LIMIT 3)) SELECT (SELECT count(*) FROM gone) AS scans, (SELECT count(*) FROM scan_files WHERE scan_id IN (FROM gone)) AS files, (SELECT count(*) FROM scan_groups WHERE scan_id IN (FROM gone)) AS groups", _STORE)
+def prune_report(spark: SparkSession, d: str) -> DataFrame:
+    return caches.prune_report(made.scans(spark, d), made.scan_files(spark, d), made.scan_groups(spark, d))
+
+
+@_query("SELECT DISTINCT path FROM hash_log WHERE path NOT IN (SELECT '/corpus/u' || doc_id * 2 FROM documents)", f"WITH {made.HASH_LOG_SQL} ")
+def stale_cache(spark: SparkSession, d: str) -> DataFrame:
+    there = _docs(spark, d).select(F.concat(F.lit("/corpus/u"), (F.col("id") * 2).cast("string")).alias("path"))
+    return caches.stale(made.hash_log(spark, d), there)
+
+
+@_query(
+    """SELECT id, regexp_replace(coalesce(nullif(a, ''), nullif(b, ''), nullif(c, '')), '^([^:]*):([^:]*):', '\\1-\\2-') AS taken,
+CASE WHEN make IS NULL AND model IS NULL THEN NULL WHEN make IS NULL THEN model WHEN model IS NULL THEN make WHEN starts_with(lower(model), lower(split_part(make, ' ', 1))) THEN model ELSE make || ' ' || model END AS camera
+FROM (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') ELSE '' END AS a, CASE WHEN event_id % 3 = 0 THEN '2019:07:14 01:02:03' END AS b, CASE WHEN event_id % 5 = 0 THEN '2001:01:01 00:00:00' END AS c,
+  CASE WHEN event_id % 2 = 0 THEN event_type || ' Corp' END AS make, CASE event_id % 3 WHEN 0 THEN upper(event_type) || ' 7' WHEN 1 THEN 'X 9' END AS model FROM events)""")
+def camera_strings(spark: SparkSession, d: str) -> DataFrame:
+    i, kind = F.col("event_id"), F.col("event_type")
+    a = F.when(i % 4 == 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).otherwise("")
+    b, c = F.when(i % 3 == 0, "2019:07:14 01:02:03"), F.when(i % 5 == 0, "2001:01:01 00:00:00")
+    make, model = F.when(i % 2 == 0, F.concat(kind, F.lit(" Corp"))), F.when(i % 3 == 0, F.concat(F.upper(kind), F.lit(" 7"))).when(i % 3 == 1, "X 9")
+    return made.events(spark, d).select(i.alias("id"), images.taken(a, b, c).alias("taken"), images.camera(make, model).alias("camera"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
