@@ -82,6 +82,11 @@ def verified_clusters(files: DataFrame, verify: bool = True) -> DataFrame:
         return md5_groups(files).select(F.col("md5").alias("signature"), F.lit(False).alias("verified"), "size", "ids")
     rows = with_md5(files.filter("size > 0 and content is not null")).select("id", "md5", "size", signatures.strong_hash(F.col("content")).alias("strong"))
     parts = rows.groupBy("md5", "size", "strong").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return numbered(parts)
+
+
+def numbered(parts: DataFrame) -> DataFrame:
+    """Clusters of the parts (md5, size, strong, ids) of each MD5, named in order of their least id."""
     nth = F.row_number().over(Window.partitionBy("md5", "size").orderBy(F.col("ids")[0])) - 1
     signature = F.when(F.col("nth") == 0, F.col("md5")).otherwise(F.concat("md5", F.lit("#"), F.col("nth").cast("string")))
     return parts.withColumn("nth", nth).filter(F.size("ids") > 1).select(signature.alias("signature"), F.lit(True).alias("verified"), "size", "ids")
