@@ -143,8 +143,8 @@ def meta_column(content: Column) -> Column:
     @F.pandas_udf(META)
     def run(c: pd.Series) -> pd.DataFrame:
         rows = [meta(x) or {} for x in c]
-        out = pd.DataFrame(rows, columns=["width", "height", "format", "taken", "camera"])
-        return out.astype({"width": "Int32", "height": "Int32"})
+        column = lambda k, kind: pd.Series([r.get(k) for r in rows], dtype=kind)
+        return pd.DataFrame({k: column(k, "Int32" if k in ("width", "height") else object) for k in ("width", "height", "format", "taken", "camera")})
 
     return F.when(content.isNotNull(), run(content))
 
