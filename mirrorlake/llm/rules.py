@@ -30,7 +30,7 @@ class RuleOptions:
     bins: int = 64
     rate: float = 0.15
     ridge: float = 1.0
-    least_weight: float = 5.0
+    least_weight: float = 1.0
     threshold: float = 0.5
     directions: tuple[tuple[str, int], ...] = field(default=tuple((f, -1) for f in FALLING))
 
