@@ -71,7 +71,8 @@ def hamming_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
     """
     n = most + 1
     edge = [64 * i // n for i in range(n + 1)]
-    band = lambda bits, i: F.shiftrightunsigned(bits, edge[i]).bitwiseAND((1 << (edge[i + 1] - edge[i])) - 1)
+    mask = lambda width: (1 << width) - 1 if width < 64 else -1
+    band = lambda bits, i: F.shiftrightunsigned(bits, edge[i]).bitwiseAND(mask(edge[i + 1] - edge[i]))
     bands = F.array(*(F.struct(F.lit(i).alias("nth"), band(F.col("bits"), i).alias("value")) for i in range(n)))
     rows = hashes.filter("bits is not null").select("id", "bits", F.explode(bands).alias("band"))
     a, b = rows.select(F.col("id").alias("a"), F.col("bits").alias("x"), "band"), rows.select(F.col("id").alias("b"), F.col("bits").alias("y"), "band")

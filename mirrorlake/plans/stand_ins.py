@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorlake.operators import exact, groups, suggest
+from mirrorlake.operators.lineage import cut
 from mirrorlake.sources import catalogue
 
 NOW = 1767225600.0
@@ -34,13 +35,13 @@ def near_members(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, sf_dir: str) -> Scan:
-    files = catalogue.documents(spark, sf_dir)
-    bare = files.drop("content")
-    clusters = exact.verified_clusters(bare, verify=False).withColumn("verified", F.lit(True))
-    ex, near = groups.exact_members(clusters), near_members(bare)
-    rows = groups.group_rows(ex, bare, "exact").unionByName(groups.group_rows(near, bare, "near"))
-    members = ex.unionByName(near).select("group_id", "file_id", "similarity")
-    return Scan(files, rows, members, suggest.suggestions(rows.filter("id % 10 <> 4"), members, bare, NOW))
+    files = cut(catalogue.documents(spark, sf_dir).drop("content"))  # as a store would have it: contents are hashed once
+    clusters = exact.verified_clusters(files, verify=False).withColumn("verified", F.lit(True))
+    found = cut(groups.exact_members(clusters).unionByName(near_members(files)))
+    kind = lambda nth: found.filter(F.col("group_id") % 2 == nth)
+    rows = cut(groups.group_rows(kind(0), files, "exact").unionByName(groups.group_rows(kind(1), files, "near")))
+    members = found.select("group_id", "file_id", "similarity")
+    return Scan(files, rows, members, suggest.suggestions(rows.filter("id % 10 <> 4"), members, files, NOW))
 
 
 _GROUP = """min(f.scan_id) AS scan_id, '{k}' AS kind, {sig} AS signature, {sim} AS similarity, {v} AS verified, count(*) AS file_count, CAST(sum(f.size) AS BIGINT) AS total_bytes,
