@@ -9,8 +9,10 @@ learn how far earlier ones can be trusted.
 Only "toxic" is labelled by hand. "severe" is a toxic document with
 ``severe_words`` or more of the words that go with toxicity, and "hostile_junk"
 one that is also labelled as of low quality. The vocabulary is learned: the words
-of the labelled sample with the largest chi-squared statistic. Near copies count once
-there, else the words of a toxic document that was copied would seem toxic.
+and beginnings of words of the labelled sample with the largest chi-squared
+statistic, beginnings both as seen and as seen several times, for languages that
+inflect and compound. Near copies count once there, else the words of a toxic
+document that was copied would seem toxic.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ class ToxicityOptions:
     """``sample_rows`` bounds the labelled documents that the chain is fitted to."""
 
     sample_rows: int = 20_000
-    vocabulary: int = 200
+    vocabulary: int = 300
     least_documents: int = 4
     least_chi2: float = 16.0
     severe_words: int = 3
@@ -44,6 +46,33 @@ class ToxicityOptions:
     threshold: float = 0.5
 
 
+#: Bytes of the beginnings of longer words, and how often one must be seen to count as frequent.
+BEGINNINGS = (4, 6, 8)
+OFTEN = 3
+_BEGINS, _FREQUENT = np.uint64(2), np.uint64(1)  # the lowest bits of a feature's hash
+
+
+def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of each word and of its beginnings, marked in the lowest bits."""
+    out, docs = [], []
+    for pos, piece, start, end in T.runs(raw, offs):
+        doc = np.searchsorted(offs, start + pos, "right") - 1
+        out.append(T.hashes(piece, start, end) & ~np.uint64(3))
+        docs.append(doc)
+        for k in BEGINNINGS:
+            longer = np.flatnonzero(end - start > k)
+            out.append(T.hashes(piece, start[longer], start[longer] + k) & ~np.uint64(3) | _BEGINS)
+            docs.append(doc[longer])
+    return (np.concatenate(out), np.concatenate(docs)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def features(token: np.ndarray) -> np.ndarray:
+    """Distinct features of one document: its tokens, and beginnings that are frequent in it."""
+    each, n = np.unique(token, return_counts=True)
+    often = each[(n >= OFTEN) & (each & _BEGINS > 0)] | _FREQUENT
+    return np.union1d(each, often)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Weights of a logistic regression, the last one the bias, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -66,7 +95,7 @@ def _apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chain:
-    """``vocabulary``: sorted hashes of words; one weight vector for each category."""
+    """``vocabulary``: sorted hashes of features; one weight vector for each category."""
 
     vocabulary: np.ndarray
     weights: list[np.ndarray]
@@ -78,13 +107,16 @@ class Chain:
         return x[:, len(self.vocabulary) :]
 
     def presence(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        word, first = T.words(raw, offs)
-        x = np.zeros((len(offs) - 1, len(self.vocabulary)))
-        if len(word) and len(self.vocabulary):
-            at = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
-            hit = np.flatnonzero(self.vocabulary[at] == word)
-            x[np.searchsorted(first, hit, "right") - 1, at[hit]] = 1
-        return x
+        base = np.unique(self.vocabulary & ~_FREQUENT)
+        count = np.zeros((len(offs) - 1, len(base)))
+        if not len(base):
+            return count
+        token, doc = tokens(raw, offs)
+        at = np.minimum(np.searchsorted(base, token), len(base) - 1)
+        hit = base[at] == token
+        np.add.at(count, (doc[hit], at[hit]), 1)
+        need = np.where(self.vocabulary & _FREQUENT > 0, OFTEN, 1)
+        return (count[:, np.searchsorted(base, self.vocabulary & ~_FREQUENT)] >= need).astype(float)
 
 
 #: Says no to everything.
@@ -107,7 +139,7 @@ def fit(x: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, o: ToxicityOp
 
 
 def _bags(docs: DataFrame, labels: DataFrame, o: ToxicityOptions) -> DataFrame:
-    """(doc_id, toxic, bad, words, sketch): the distinct word hashes of the sample.
+    """(doc_id, toxic, bad, words, sketch): the distinct features of the sample.
 
     Near copies have one of the numbers in ``sketch`` in common, each made of four
     minwise words.
@@ -117,15 +149,20 @@ def _bags(docs: DataFrame, labels: DataFrame, o: ToxicityOptions) -> DataFrame:
     def sketch(bag: np.ndarray) -> list[int]:
         if not len(bag):
             return []
-        low = np.array([(bag.view(np.uint64) * m).min() for m in mult], np.uint64)
+        low = np.array([(bag * m).min() for m in mult], np.uint64)
         return [hash(tuple(low[i : i + 4].tolist())) for i in (0, 4, 8)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = T.buffers(b.column(1))
-            word, first = T.words(raw, offs)
-            bags = [np.unique(T.as_signed(word[i:j])) for i, j in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(bags, pa.list_(pa.int64())), pa.array([sketch(x) for x in bags], pa.list_(pa.int64()))], ["doc_id", "toxic", "bad", "words", "sketch"])
+            for lo, hi in T.slices(offs):
+                token, doc = tokens(raw, offs[lo : hi + 1])
+                order = np.argsort(doc, kind="stable")
+                edge = np.searchsorted(doc[order], np.arange(hi - lo + 1))
+                bags = [features(token[order[i:j]]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                words = [sketch(x[x & _BEGINS == 0]) for x in bags]
+                rest = [b.column(c).slice(lo, hi - lo) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([T.as_signed(x) for x in bags], pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "toxic", "bad", "words", "sketch"])
 
     src = labelled(docs, labels, ["toxic", "quality"], o.sample_rows)
     src = src.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.col("toxic").cast("double").alias("toxic"), (F.col("quality") <= 0).cast("double").alias("bad"))
@@ -162,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, o: ToxicityOptions) -> Chain:
         return _SILENT
     vocabulary = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
     top = top.assign(odds=np.log((top.k + 0.5) / (pos - top.k + 0.5)) - np.log((top.n - top.k + 0.5) / (n - pos - top.n + top.k + 0.5)))
-    marked = np.isin(vocabulary, top.loc[top.odds > 3, "word"].to_numpy(np.int64).view(np.uint64))
+    marked = np.isin(vocabulary, top.loc[top.odds > 3, "word"].to_numpy(np.int64).view(np.uint64)) & (vocabulary & _BEGINS == 0)
     wanted = F.array_intersect("words", F.array(*(F.lit(int(w)) for w in vocabulary.view(np.int64))))
     rows = bags.select("doc_id", "toxic", "bad", wanted.alias("words")).toPandas().sort_values("doc_id", kind="stable")
     x = np.zeros((len(rows), len(vocabulary)))
