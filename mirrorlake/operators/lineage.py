@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Rows up to which a side may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a side may be broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows.
+def _width(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        fields = len(kind.elementType.fields) + 2 if isinstance(kind.elementType, StructType) else 1
+        return F.coalesce(F.size(column), F.lit(0)) * 8 * fields + 24
+    return F.lit(8 * (len(kind.fields) + 2) if isinstance(kind, StructType) else 8)
 
-    ``df`` should be cheap to count, e.g. the result of :func:`cut`. Beyond the
+
+def row_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows take in memory; one pass over ``df``."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32))
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``most`` bytes.
+
+    ``df`` should be cheap to read, e.g. the result of :func:`cut`. Beyond the
     bound the plan is left to Spark, which shuffles both sides.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if row_bytes(df) <= most else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mirrorlake.functions import ctph
 from mirrorlake.operators import actions, caches, exact, folders, fuzzy, groups, results, suggest
 from mirrorlake.operators.components import components
+from mirrorlake.operators.lineage import row_bytes, small
 from mirrorlake.options import ScanOptions
 
 NOW = 1_700_000_000.0
@@ -231,6 +232,14 @@ def test_caches(spark):
     assert caches.invalidate_verified(seen, spark.createDataFrame([("/b",)], "path string")).collect() == []
 
 
+def test_broadcasts_are_bounded_by_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 100, [(1, 2)] * 5) for i in range(50)], "id long, t string, p array<struct<a:long,b:long>>")
+    assert row_bytes(df) == 50 * (32 + 8 + 108 + 5 * 32 + 24)
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString()
+    assert hinted(small(df)) and not hinted(small(df, 1000))
+    assert row_bytes(df.filter("false")) == 0
+
+
 def test_exif_and_empty_members(spark):
     f, g, m, s = scan_tables(spark)
     empty = m.filter("false")
