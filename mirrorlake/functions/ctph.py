@@ -59,36 +59,87 @@ def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
-def _text(data: np.ndarray, marks: np.ndarray, most: int, live: bool) -> str:
-    """One signature: a letter for each stretch up to a mark, ``most`` at most, and one for the rest."""
-    marks = marks[:most]
-    starts = np.concatenate([[0], marks + 1])
-    ends = np.append(marks + 1, len(data))
-    values = _pieces(data, starts, ends)
-    return LETTERS[values if live else values[:-1]].tobytes().decode()
+#: Bytes of contents handled at once; keeps the working arrays inside the CPU's caches.
+_BATCH = 1 << 19
+
+
+def _texts(data: np.ndarray, first: np.ndarray, marks: list[np.ndarray], most: int, live: np.ndarray) -> list[str]:
+    """For each content one letter for each stretch up to a mark, ``most`` at most, and if ``live`` one for the rest."""
+    kept = [m[:most] + 1 for m in marks]
+    inner = [np.concatenate([[a], a + m]) for a, m in zip(first[:-1], kept, strict=True)]
+    starts = np.concatenate(inner)
+    values = LETTERS[_pieces(data, starts, np.append(starts[1:], len(data)))].tobytes().decode()
+    out, at = [], 0
+    for m, end in zip(kept, live.tolist(), strict=True):
+        out.append(values[at : at + len(m) + end])
+        at += len(m) + 1
+    return out
 
 
-def signature(content: bytes | None, size: int | None = None, most: int = 0) -> str | None:
-    """"blocksize:text:text" of the first ``most`` bytes, all with 0; null if short or too regular.
+def _signed(parts: list[np.ndarray], sizes: list[int], most: int) -> list[str | None]:
+    """Signatures of contents of 192 bytes or more, all at once."""
+    gap = np.zeros(WINDOW - 1, np.uint8)  # what stands before a content is as if zero
+    rolls = rolling(np.concatenate([x for p in parts for x in (gap, p)]))
+    place = np.cumsum([0, *(len(p) + len(gap) for p in parts)])
+    live = np.array([bool(p[-WINDOW:].any()) for p in parts])
+    chosen: list[tuple[int, np.ndarray, np.ndarray] | None] = []
+    for k, size in enumerate(sizes):
+        roll, bs, got = rolls[place[k] + len(gap) : place[k + 1]], first_blocksize(size, most), None
+        for _ in range(6):
+            marks = np.flatnonzero(roll % np.uint32(bs) == bs - 1)
+            if min(len(marks), LENGTH - 1) + live[k] >= LENGTH // 2 or bs <= LEAST:
+                got = bs, marks, marks[roll[marks] % np.uint32(2 * bs) == 2 * bs - 1]
+                break
+            bs = max(LEAST, bs // 2)
+        chosen.append(got)
+    good = [k for k, c in enumerate(chosen) if c]
+    if not good:
+        return [None] * len(parts)
+    data = np.concatenate([parts[k] for k in good])
+    first = np.cumsum([0, *(len(parts[k]) for k in good)])
+    one = _texts(data, first, [chosen[k][1] for k in good], LENGTH - 1, live[good])
+    two = _texts(data, first, [chosen[k][2] for k in good], LENGTH // 2 - 1, live[good])
+    out: list[str | None] = [None] * len(parts)
+    for k, a, b in zip(good, one, two, strict=True):
+        out[k] = f"{chosen[k][0]}:{a}:{b}"
+    return out
+
+
+def signatures(contents: list[bytes | None], sizes: list[int | None] | None = None, most: int = 0) -> list[str | None]:
+    """"blocksize:text:text" of the first ``most`` bytes of each content, all with 0; null if short or too regular.
 
     The block size is halved up to five times until the first text has 32 letters.
     """
-    if content is None:
-        return None
-    size = len(content) if size is None else size
-    bs = first_blocksize(size, most)
-    if not bs:
-        return None
-    data = np.frombuffer(content, np.uint8)[: min(size, most) if most > 0 else size]
-    roll = rolling(data)
-    live = bool(data[-WINDOW:].any())
-    for _ in range(6):
-        marks = np.flatnonzero(roll % np.uint32(bs) == bs - 1)
-        if min(len(marks), LENGTH - 1) + live >= LENGTH // 2 or bs <= LEAST:
-            half = marks[roll[marks] % np.uint32(2 * bs) == 2 * bs - 1]
-            return f"{bs}:{_text(data, marks, LENGTH - 1, live)}:{_text(data, half, LENGTH // 2 - 1, live)}"
-        bs = max(LEAST, bs // 2)
-    return None
+    sizes = [None] * len(contents) if sizes is None else sizes
+    out: list[str | None] = [None] * len(contents)
+    held: list[int] = []
+    parts: list[np.ndarray] = []
+    real: list[int] = []
+
+    def flush() -> None:
+        for k, v in zip(held, _signed(parts, real, most) if held else [], strict=True):
+            out[k] = v
+        held.clear(), parts.clear(), real.clear()
+
+    total = 0
+    for k, (content, size) in enumerate(zip(contents, sizes, strict=True)):
+        if content is None:
+            continue
+        size = len(content) if size is None else size
+        data = np.frombuffer(content, np.uint8)[: min(size, most) if most > 0 else size]
+        if not first_blocksize(size, most) or not len(data):
+            continue
+        if total + len(data) > _BATCH:
+            flush()
+            total = 0
+        held.append(k), parts.append(data), real.append(size)
+        total += len(data)
+    flush()
+    return out
+
+
+def signature(content: bytes | None, size: int | None = None, most: int = 0) -> str | None:
+    return signatures([content], [size], most)[0]
 
 
 def strip_runs(text: str) -> str:
@@ -171,7 +222,8 @@ def keys(text: str | None, parity: bool = False) -> list[str]:
 def signature_column(content: Column, size: Column, most: int = 0) -> Column:
     @F.pandas_udf("string")
     def run(c: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([None if n is None or pd.isna(n) else signature(x, int(n), most) for x, n in zip(c, s, strict=True)], dtype=object)
+        known = [None if pd.isna(n) else x for x, n in zip(c, s, strict=True)]
+        return pd.Series(signatures(known, [None if pd.isna(n) else int(n) for n in s], most), dtype=object)
 
     return run(content, size)
 

@@ -57,6 +57,17 @@ def test_signature_equals_the_serial_one(n, letters, most, seed, zeros):
     assert ctph.signature(data, None, most) == serial_signature(data, most)
 
 
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3000), st.integers(1, 256), st.integers(0, 9)), max_size=8))
+def test_signatures_of_a_batch_equal_the_serial_ones(rows):
+    data = [random.Random(seed).randbytes(n) if letters > 200 else bytes(random.Random(seed).choices(range(letters), k=n)) for n, letters, seed in rows]
+    whole, ctph._BATCH = ctph._BATCH, 4000
+    try:
+        assert ctph.signatures([*data, None]) == [*map(serial_signature, data), None]
+    finally:
+        ctph._BATCH = whole
+
+
 def test_signature_edges():
     assert ctph.signature(None) is None
     assert ctph.signature(b"a" * 191) is None
