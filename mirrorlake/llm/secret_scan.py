@@ -2,9 +2,12 @@
 
 A token, a run of letters, digits, ``_-+/`` and bytes beyond ASCII, is a secret if
 its log-likelihood as a random string exceeds that as an ordinary identifier by
-enough for each character. Both models are first-order and trained from labelled
-strings: generated keys of the usual alphabets against words of a bounded sample
-of labelled documents, joined to identifiers, and numbers.
+enough for each character. Inside other tokens, of any length, so are the stretches
+whose summed log-likelihood ratio is large: a key behind a path, after letters
+beyond ASCII, or a short password. Such a stretch has a digit or capitals within, as
+letters alone may be a word of a language that no label covers. Both models are first-order and trained from
+labelled strings: generated keys of the usual alphabets against words of a bounded
+sample of labelled documents, joined to identifiers, and numbers.
 """
 
 from __future__ import annotations
@@ -28,18 +31,26 @@ ALPHABET = string.ascii_letters + string.digits + "_-+/"
 _CLASS = np.full(256, len(ALPHABET), np.int64)
 _CLASS[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 _START = len(ALPHABET) + 1
-_TOKEN = (_CLASS < len(ALPHABET)) | (np.arange(256) >= 128)
+_KEY = _CLASS < len(ALPHABET)
+_TOKEN = _KEY | (np.arange(256) >= 128)
+_JOINT = np.isin(np.arange(256), np.frombuffer(b"_-+/", np.uint8))
 _COMMON = "the of and to in is that for it with as was on are by this from at or have not be which you all can has more when out use time data value index config name file user result error request response handler manager total count default parser buffer client server service account session number order customer update create delete select insert table column password secret token private public".split()
 
 
 @dataclass(frozen=True)
 class SecretOptions:
-    """``sample_rows`` bounds the labelled documents whose words train the identifier model."""
+    """``sample_rows`` bounds the labelled documents whose words train the identifier model.
+
+    Tokens of ``least_length`` need a mean ratio of ``threshold``; stretches within
+    tokens also a sum of ``least_total``, and end where it falls by ``drop``.
+    """
 
     sample_rows: int = 2_000
     words: int = 20_000
     least_length: int = 16
     threshold: float = 0.35
+    least_total: float = 16.0
+    drop: float = 10.0
     smoothing: float = 0.3
     mask: str = "[SECRET]"
     seed: int = 5
@@ -92,17 +103,45 @@ def _logs(strings: list[str], smoothing: float) -> np.ndarray:
     return np.log(count / count.sum(1, keepdims=True))
 
 
+def _best(v: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest sum of adjacent values within each run."""
+    size = np.diff(place)
+    total = np.cumsum(v)
+    own = total - np.repeat(total[place[:-1]] - v[place[:-1]], size)
+    step = np.repeat(np.arange(len(size)) * (max(0.0, -float(own.min())) + 1), size)  # puts each run below all earlier ones
+    low = np.minimum.accumulate(np.minimum(own, 0) - step) + step
+    return np.maximum.reduceat(own - low, place[:-1])
+
+
+def _rises(v: list[float], o: SecretOptions) -> Iterator[tuple[int, int, float]]:
+    """(begin, stop, sum) of the stretches that score, each up to where the sum is highest before it drops."""
+    begin, stop, total, best = 0, 0, 0.0, 0.0
+    for i, x in enumerate([*v, -np.inf]):
+        total += x
+        if total > best:
+            best, stop = total, i + 1
+        elif total <= 0 or best - total >= o.drop:
+            if best >= o.least_total and best >= o.threshold * (stop - begin):
+                yield begin, stop, best
+            begin, total, best = i + 1, 0.0, 0.0
+
+
 @dataclass
 class Markov:
     """log P(random) - log P(identifier) of each step from one character to the next."""
 
     ratio: np.ndarray
 
-    def tokens(self, raw: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where tokens of ``least`` bytes start and end, and their ratios for each byte."""
-        out = []
-        for pos, piece, start, end in T.runs(raw, offs, _TOKEN):
+    def _steps(self, raw: np.ndarray, offs: np.ndarray, table: np.ndarray, least: int, mixed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Where runs of ``least`` bytes start and end, the ratios of all their bytes, and n + 1 places of runs in these.
+
+        ``mixed``: only runs with something else than small letters after the first byte.
+        """
+        for pos, piece, start, end in T.runs(raw, offs, table):
             long = end - start >= least
+            if mixed:
+                other = np.cumsum(~T.IS_LOWER[piece])
+                long &= other[end - 1] > other[start]
             start, end = start[long], end[long]
             if not len(start):
                 continue
@@ -112,11 +151,56 @@ class Markov:
             c = _CLASS[piece[at]]
             before = np.concatenate([[_START], c[:-1]])
             before[place[:-1]] = _START
-            out.append((start + pos, end + pos, np.add.reduceat(self.ratio[before, c], place[:-1]) / size))
+            yield start + pos, end + pos, self.ratio[before, c], place
+
+    def tokens(self, raw: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where tokens of ``least`` bytes start and end, and their ratios for each byte."""
+        out = [(start, end, np.add.reduceat(v, place[:-1]) / (end - start)) for start, end, v, place in self._steps(raw, offs, _TOKEN, least)]
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def stretches(self, raw: np.ndarray, offs: np.ndarray, o: SecretOptions) -> list[tuple[int, int, float]]:
+        """Starts, ends and mean ratios of the stretches of ASCII that score, each drawn out to the joints around it."""
+        out: list[tuple[int, int, float]] = []
+        least = max(1, int(np.ceil(o.least_total / max(float(self.ratio.max()), 1e-9))))  # shorter ones can't reach the sum
+        for start, end, v, place in self._steps(raw, offs, _KEY, least, mixed=True):
+            for k in np.flatnonzero(_best(v, place) >= o.least_total - 1e-3).tolist():
+                first, last = int(start[k]), int(end[k])
+                joint = np.flatnonzero(_JOINT[raw[first:last]]) + first
+                own: list[tuple[int, int, float]] = []
+                for i, j, total in _rises(v[place[k] : place[k + 1]].tolist(), o):
+                    x, y = first + i, first + j
+                    left, right = np.searchsorted(joint, x), np.searchsorted(joint, y)
+                    x = x if _JOINT[raw[x]] else int(joint[left - 1]) + 1 if left else first
+                    y = y if _JOINT[raw[y - 1]] else int(joint[right]) if right < len(joint) else last
+                    letters = raw[x:y].tobytes().decode().strip("_-+/")
+                    if letters.isalpha() and (letters[1:].islower() or letters.isupper()):
+                        continue
+                    if own and x <= own[-1][1]:
+                        own[-1] = (own[-1][0], y, max(own[-1][2], total / (j - i)))
+                    else:
+                        own.append((x, y, total / (j - i)))
+                out += own
+        return out
+
+    def hits(self, raw: np.ndarray, offs: np.ndarray, o: SecretOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and scores of all secrets in order: whole tokens, and stretches within other tokens."""
+        start, end, score = self.tokens(raw, offs, o.least_length)
+        whole = score >= o.threshold
+        start, end, score = start[whole], end[whole], score[whole]
+        found = self.stretches(raw, offs, o)
+        if not found:
+            return start, end, score
+        a, b, c = (np.array(x) for x in zip(*found, strict=True))
+        if len(start):
+            before = np.searchsorted(start, a, "right") - 1
+            free = (before < 0) | (end[before] <= a)
+            a, b, c = a[free], b[free], c[free]
+        start, end, score = np.concatenate([start, a]), np.concatenate([end, b]), np.concatenate([score, c])
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], score[order]
+
     def of(self, s: str) -> float:
         """The ratio for each byte of one string."""
         c = np.concatenate([[_START], _CLASS[np.frombuffer(s.encode(), np.uint8)]])
@@ -161,11 +245,9 @@ def secrets(docs: DataFrame, labels: DataFrame | None, options: SecretOptions |
         for b in batches:
             raw, offs = T.buffers(b.column(1))
             for lo, hi in T.slices(offs):
-                start, end, score = model.tokens(raw, offs[lo : hi + 1], o.least_length)
-                hit = np.flatnonzero(score >= o.threshold)
-                if not len(hit):
+                start, end, score = model.hits(raw, offs[lo : hi + 1], o)
+                if not len(start):
                     continue
-                start, end, score = start[hit], end[hit], score[hit]
                 doc = np.searchsorted(offs[lo : hi + 1], start, "right") - 1 + lo
                 rows: list[tuple] = []
                 for d in np.unique(doc):
@@ -197,12 +279,11 @@ def redact(docs: DataFrame, labels: DataFrame | None, options: SecretOptions | N
             raw, offs = T.buffers(column)
             new: dict[int, str] = {}
             for lo, hi in T.slices(offs):
-                start, end, score = model.tokens(raw, offs[lo : hi + 1], o.least_length)
-                hit = np.flatnonzero(score >= o.threshold)
-                doc = np.searchsorted(offs[lo : hi + 1], start[hit], "right") - 1 + lo
+                start, end, _ = model.hits(raw, offs[lo : hi + 1], o)
+                doc = np.searchsorted(offs[lo : hi + 1], start, "right") - 1 + lo
                 for d in np.unique(doc):
                     parts, last = [], int(offs[d])
-                    for k in hit[doc == d]:
+                    for k in np.flatnonzero(doc == d):
                         parts += [raw[last : start[k]].tobytes(), mask]
                         last = int(end[k])
                     new[int(d)] = b"".join([*parts, raw[last : offs[d + 1]].tobytes()]).decode("utf-8", "replace")

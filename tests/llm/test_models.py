@@ -123,6 +123,39 @@ def test_secrets_hold_out():
     assert np.allclose(score, [model.of(k) for k in keys[:2]])
 
 
+def test_secrets_inside_longer_tokens():
+    o = secret_scan.SecretOptions()
+    model = secret_scan.fit(["wordy", "passage", "straße", "élan", "window"], o)
+    r = __import__("random").Random(4)
+    b62 = secret_scan.string.ascii_letters + secret_scan.string.digits
+    path = "home/user/server/config/session/data/"
+
+    def left(texts):
+        """What stays of each text without its secrets."""
+        raw, offs = T.buffers(__import__("pyarrow").array(texts))
+        start, end, _ = model.hits(raw, offs, o)
+        assert (start[1:] >= end[:-1]).all()
+        kept = np.ones(len(raw), bool)
+        for a, b in zip(start, end, strict=True):
+            kept[a:b] = False
+        return [raw[a:b][kept[a:b]].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+
+    for letters, n, head, tail in [(b62, 20, path, ""), ("0123456789abcdef", 32, path, ""), (b62, 20, "größe漢字", ""), (b62, 15, "", ""), (b62, 12, "", ""), (b62, 24, path, "/" + path)]:
+        keys = ["".join(r.choices(letters, k=n)) for _ in range(300)]
+        rest = left([f"see {head}{k}{tail} now" for k in keys])
+        clean = {f"see {head[:i]}{tail[j:]} now" for i in range(len(head) + 1) for j in range(len(tail) + 1)}  # the key is gone whole
+        assert np.mean([x in clean for x in rest]) > 0.95
+    two = [["".join(r.choices(b62, k=20)) for _ in range(2)] for _ in range(300)]
+    clean = {path + f"/{path}"[j:] for j in range(6)}  # at most one part of the path between goes with them
+    assert np.mean([x in clean for x in left([f"{path}{a}/{path}{b}" for a, b in two])]) > 0.95
+    plain = secret_scan.identifiers(secret_scan._COMMON, 900, 98)
+    assert np.mean([x != y for x, y in zip(left(plain), plain, strict=True)]) < 0.02
+    v = [r.gauss(0, 3) for _ in range(200)]
+    place = np.array([0, 1, 60, 61, 150, 200])
+    want = [max(sum(v[i:j]) for i in range(a, b) for j in range(i, b + 1)) for a, b in zip(place, place[1:])]
+    assert np.allclose(secret_scan._best(np.array(v), place), want)
+
+
 def segmentations(n, found):
     """All ways to part n tokens into plain ones and labelled spans."""
     if n == 0:
