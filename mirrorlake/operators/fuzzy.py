@@ -30,7 +30,7 @@ def fuzzy_eligible(files: DataFrame, gone: DataFrame, o: ScanOptions) -> DataFra
     """
     image = F.col("ext").isin(*EXTENSIONS) if o.image_similarity else F.lit(False)
     wants = ~image & ~F.col("ext").isin(*(e.lower() for e in o.fuzzy_skip_exts)) if o.fuzzy_skip_exts else ~image
-    if o.fuzzy_max_bytes <= 0:
+    if o.fuzzy_max_bytes <= 0 and o.fuzzy_max_size > 0:
         wants = wants & (F.col("size") <= o.fuzzy_max_size)
     rows = files.filter(F.col("size") >= max(o.fuzzy_min_size, 192)).join(small(cut(gone)), "id", "left_anti")
     rows = rows.withColumns({"is_image": image, "wants_signature": wants, "band": paths.bit_length("size")})

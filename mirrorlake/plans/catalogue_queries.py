@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Documents of the test tables are short; the usual 4,096 bytes would leave few.
 NEAR = ScanOptions(fuzzy_min_size=192)
+#: Without a byte budget and a largest size, so that whole contents of all documents are signed.
+WHOLE = replace(NEAR, fuzzy_max_bytes=0, fuzzy_max_size=0)
 
 
 def _query(sql: str | None = None, head: str = "") -> Callable[[Query], Query]:
@@ -303,13 +306,13 @@ def fuzzy_eligible(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def ctph_signatures(spark: SparkSession, d: str) -> DataFrame:
     files = _docs(spark, d)
-    return files.select("id", "size", ctph.signature_column(F.col("content"), F.col("size"), NEAR.fuzzy_max_bytes).alias("fuzzy"))
+    return files.select("id", "size", ctph.signature_column(F.col("content"), F.col("size"), WHOLE.fuzzy_max_bytes).alias("fuzzy"))
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = _docs(spark, d)
     clusters = cut(exact.md5_groups(files))
-    return files, clusters, fuzzy.near_pairs(files, clusters, NEAR)
+    return files, clusters, fuzzy.near_pairs(files, clusters, WHOLE)
 
 
 @_query()
@@ -320,7 +323,7 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def near_groups(spark: SparkSession, d: str) -> DataFrame:
     files, clusters, pairs = _near(spark, d)
-    members = fuzzy.near_members(pairs, files, clusters.select(F.explode("ids").alias("id")), NEAR)
+    members = fuzzy.near_members(pairs, files, clusters.select(F.explode("ids").alias("id")), WHOLE)
     return groups.group_rows(members, files, "near")
 
 
