@@ -9,7 +9,8 @@
    several shards, the text around all its places is sent to one more.
 3. A shard's regions are one text in a file, and external induced sorting
    (:mod:`mirrorlake.llm.suffixes`) gives its suffixes in order with their common
-   prefixes, whatever the shard's size. Stretches of suffixes with ``passage``
+   prefixes. The shard's texts and working arrays must fit in memory: only the
+   runs of the sort are files. Stretches of suffixes with ``passage``
    words in common, from two documents or more, are the repeats.
 """
 
