@@ -143,33 +143,35 @@ class _Compare:
                     self._node(ids[pick], sig[pick], label[pick], seed * 31 + int(at) * 257 + int(value), depth + 1)
 
     def _leaders(self, ids: np.ndarray, sig: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
-        """Compare up to ``most`` documents outside clusters with all others."""
+        """Compare documents with those outside their clusters: all, or of more than ``most`` so many that are in none."""
         label = label.copy()
-        done = 0
-        for i in range(len(ids)):
-            if label[i] >= 0 and label[i] != ids[i]:
+        n, done = len(ids), 0
+        for i in range(n):
+            if most < n:
+                if label[i] >= 0 and label[i] != ids[i]:
+                    continue
+                if done == most:
+                    break
+                done += 1
+            if label[i] < 0:
+                label[i] = ids[i]
+            first = 0 if most < n else i + 1  # with all compared in turn, each pair comes up once
+            other = np.flatnonzero(label[first:] != label[i]) + first
+            if not len(other):
                 continue
-            if done == most:
-                break
-            done += 1
-            same = (sig == sig[i]).sum(1)
-            same[i] = 0
-            own = label == ids[i]
-            same[own] = 0
-            near = np.flatnonzero(same >= self.maybe)
-            sure = near[same[near] >= self.sure]
-            label[i] = ids[i]
-            linked = set(label[sure].tolist()) - {-1}
-            for j in sure.tolist():
+            same = (sig[other] == sig[i]).sum(1)
+            near, same = other[same >= self.maybe], same[same >= self.maybe]
+            for j in near[same >= self.sure].tolist():
+                if label[j] == label[i]:  # its cluster is linked by now
+                    continue
+                self.out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), True))
                 if label[j] < 0:
-                    label[j] = ids[i]
-                    self.out.append((ids[i], ids[j], True))
-            for c in linked:  # one link to each cluster is enough
-                j = int(sure[label[sure] == c][0])
-                self.out.append((ids[i], ids[j], True))
-            for j in near[same[near] < self.sure].tolist():
-                if label[j] not in linked:
-                    self.out.append((ids[i], ids[j], False))
+                    label[j] = label[i]
+                else:
+                    label[label == label[j]] = label[i]
+            for j in near[same < self.sure].tolist():
+                if label[j] != label[i]:
+                    self.out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), False))
         return label
 
 

@@ -69,6 +69,19 @@ def test_near_recall_with_branching_nodes(spark):
     assert len(pairs) >= 190 and hit >= 0.9 * len(pairs)
 
 
+def test_clusters_linked_by_their_copies_only():
+    """0 and 2 are too unlike, and only their copies 1 and 3 are alike enough."""
+    compare = near._Compare(near.NearOptions())
+    compare.maybe = compare.sure = 4.5
+    sig = np.zeros((4, near.TOKENS), np.uint8) + np.arange(4, dtype=np.uint8)[:, None]
+    sig[1, :5] = sig[0, :5]  # 0 and 1, 2 and 3, 1 and 3 have five tokens in common, others none
+    sig[3, 10:15] = sig[2, 10:15]
+    sig[3, 20:25] = sig[1, 20:25]
+    assert compare.node(np.arange(4), sig, 1) == [(0, 1, True), (1, 3, True), (2, 3, True)]
+    compare.sure = 6
+    assert compare.node(np.arange(4), sig, 1) == [(0, 1, False), (1, 3, False), (2, 3, False)]
+
+
 def test_many_copies_of_one_text(spark):
     r = random.Random(3)
     base = prose(r, 100).split()
