@@ -27,6 +27,18 @@ from pyspark.sql import functions as F
 from mirrorlake.llm import text as T
 
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
+_WIDE_ENDS = [x.encode() for x in "。！？"]
+
+
+def _stops(data: np.ndarray, after: int) -> np.ndarray:
+    """Places after the sentences that end in ``data``; ``after`` is the byte that follows it."""
+    stop = np.flatnonzero(_ENDS[data])
+    stop = stop[(data[stop] == 10) | T.IS_SPACE[np.append(data, np.uint8(after))[stop + 1]]] + 1
+    wide = np.flatnonzero(data[:-2] >= 0xE3)
+    if not len(wide):
+        return stop
+    found = [wide[(data[wide] == a) & (data[wide + 1] == b) & (data[wide + 2] == c)] + 3 for a, b, c in _WIDE_ENDS]
+    return np.sort(np.concatenate([stop, *found]))
 
 
 @dataclass(frozen=True)
@@ -44,18 +56,16 @@ class PackOptions:
 
 
 def sentence_tokens(raw: np.ndarray, offs: np.ndarray, o: PackOptions) -> list[np.ndarray]:
-    """Tokens of each sentence of each document. A sentence ends after a line, or
-    after ``.!?`` before white space; sentences without tokens are dropped."""
+    """Tokens of each sentence of each document. A sentence ends after a line, after
+    ``.!?`` before white space, or after their wide forms; those without tokens are dropped."""
     n = len(offs) - 1
     at, val, ends = [], [], []
     last = int(offs[-1])
     for pos, piece, start, end in T.runs(raw, offs):
-        mark = np.flatnonzero(~T.IS_WORD[piece] & ~T.IS_SPACE[piece])
+        mark = np.flatnonzero(T.classes(piece) == T.MARK)
         at.append(np.concatenate([start, mark]) + pos)
         val.append(np.concatenate([-(-(end - start) // o.piece_bytes), np.ones(len(mark), np.int64)]))
-        stop = np.flatnonzero(_ENDS[piece]) + pos
-        stop = stop[(raw[stop] == 10) | T.IS_SPACE[raw[np.minimum(stop + 1, last - 1)]]]
-        ends.append(stop + 1)
+        ends.append(_stops(piece, int(raw[min(pos + len(piece), last - 1)])) + pos)
     if not at:
         return [np.zeros(0, np.int64)] * n
     place = np.concatenate(at)
@@ -70,9 +80,7 @@ def sentence_tokens(raw: np.ndarray, offs: np.ndarray, o: PackOptions) -> list[n
 def sentence_spans(text: str) -> list[str]:
     """The sentences that :func:`sentence_tokens` counts, as strings."""
     data = np.frombuffer(text.encode(), np.uint8)
-    stop = np.flatnonzero(_ENDS[data])
-    stop = stop[(data[stop] == 10) | T.IS_SPACE[data[np.minimum(stop + 1, len(data) - 1)]]] + 1
-    cut = [0, *stop.tolist(), len(data)]
+    cut = [0, *_stops(data, 32).tolist(), len(data)]
     return [s for a, b in zip(cut, cut[1:], strict=False) if (s := data[a:b].tobytes().decode())]
 
 

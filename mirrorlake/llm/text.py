@@ -2,13 +2,16 @@
 
 A batch of strings is one byte buffer with offsets, so words, their hashes and
 shingles are found for all its documents at once, without a Python object per
-word. A word is a run of ASCII letters, digits, underscores and bytes from 0x80;
-callers lower the case in the JVM first where it matters. Null texts count as
-empty ones.
+word. A word is a run of letters, marks, numbers and underscores of any script;
+all other characters, such as quotes, dashes and spaces beyond ASCII too, part
+words. In scripts that are written without spaces (Han, kana, Thai, Lao, Burmese,
+Khmer) each character is a word. Callers lower the case in the JVM first where it
+matters; composed and decomposed letters differ. Null texts count as empty ones.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +32,50 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: What a byte belongs to: what parts words, a word, a character that is a word, or the first byte of a mark.
+GAP, WORD, ALONE, MARK = range(4)
+_ASCII = np.where(IS_WORD, WORD, np.where(IS_SPACE, GAP, MARK)).astype(np.uint8)
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FE), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F))
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The class of each code point; all of planes 2 and 3 are Han."""
+    out = np.full(0x110000, MARK, np.uint8)
+    names = [unicodedata.category(chr(c))[0] for c in range(0x20000)]
+    out[: len(names)] = [WORD if x in "LMN" else GAP if x in "ZC" else MARK for x in names]
+    for lo, hi in _UNSPACED:
+        own = out[lo : hi + 1]
+        own[own == WORD] = ALONE
+    out[0x20000:0x40000] = ALONE
+    return out
+
+
+def classes(piece: np.ndarray) -> np.ndarray:
+    """The class of each byte of whole characters; bytes after the first of a mark part words."""
+    out = _ASCII[piece]
+    lead = np.flatnonzero(piece >= 0xC0)
+    if not len(lead):
+        return out
+    b = piece[lead].astype(np.int64)
+    size = 2 + (b >= 0xE0) + (b >= 0xF0)
+    code = np.where(size == 2, b & 0x1F, np.where(size == 3, b & 0x0F, b & 0x07))
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        code[more] = code[more] << 6 | piece[np.minimum(lead[more] + k, len(piece) - 1)] & 0x3F
+    kind = _kinds()[np.minimum(code, 0x10FFFF)]
+    odd = np.flatnonzero(kind != WORD)
+    if len(odd):
+        at, kind, size = lead[odd], kind[odd], size[odd]
+        for k in range(3, 0, -1):
+            more = size > k
+            out[np.minimum(at[more] + k, len(piece) - 1)] = np.where(kind[more] == MARK, GAP, kind[more])
+        out[at] = kind
+    return out
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
@@ -74,6 +121,7 @@ def runs(raw: np.ndarray, offs: np.ndarray, table: np.ndarray = IS_WORD) -> Iter
 
     Yields the piece's first byte, its bytes, and where runs start and end in it.
     A piece ends where no run is cut, so very long documents need little memory.
+    For words, ``table`` being ``IS_WORD``, characters beyond ASCII count as :func:`classes` says.
     """
     pos, end = int(offs[0]), int(offs[-1])
     while pos < end:
@@ -86,10 +134,17 @@ def runs(raw: np.ndarray, offs: np.ndarray, table: np.ndarray = IS_WORD) -> Iter
             if stop == near:
                 break
         piece = raw[pos:stop]
-        inside = table[piece]
+        kind = classes(piece) if table is IS_WORD else None
+        inside = table[piece] if kind is None else (kind == WORD) | (kind == ALONE)
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
+        if kind is not None and (alone := np.flatnonzero((kind == ALONE) & ((piece & 0xC0) != 0x80))).size:
+            width = 2 + (piece[alone] >= 0xE0).astype(np.int64) + (piece[alone] >= 0xF0)
+            first[alone] = last[alone + width - 1] = True
+            before, after = alone[alone > 0] - 1, (alone + width)[alone + width < len(piece)]
+            last[before] |= inside[before]
+            first[after] |= inside[after]
         cuts = offs[np.searchsorted(offs, pos, "right") : np.searchsorted(offs, stop, "left")] - pos
         first[cuts] = inside[cuts]
         last[cuts - 1] = inside[cuts - 1]

@@ -1,9 +1,11 @@
 """Small corpora and plain-Python versions of what the operators share."""
 
 import random
-import re
 
-WORD = re.compile(r"[A-Za-z0-9_\u0080-\U0010ffff]+")
+import regex
+
+_ALONE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Myanmar}\p{Khmer}]"
+WORD = regex.compile(rf"[{_ALONE}&&[\p{{L}}\p{{M}}\p{{N}}]]|[[\p{{L}}\p{{M}}\p{{N}}_]--{_ALONE}]+", regex.V1)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
