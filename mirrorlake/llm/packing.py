@@ -9,8 +9,10 @@ an end j minimises either best[i] + pad * P[i] over the windows that fit, which
 monotone queue gives, or best[i] - truncate * P[i] over those that don't, which
 is a running minimum; so the whole shard takes linear time.
 
-A shard is ``shard_ids`` ids in a row, whatever the input's size; no window
-reaches beyond it. Only counts of tokens are shuffled, never texts.
+A shard is ``shard_sentences`` sentences in a row and the rest of the document they
+end in, counted over all documents in the order of their ids; so it is as large
+however dense the ids are and however large the input is. No window reaches beyond
+it. Only counts of tokens are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorlake.llm import text as T
+from mirrorlake.operators.lineage import cut
 
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 _WIDE_ENDS = [x.encode() for x in "。！？"]
@@ -50,7 +53,7 @@ class PackOptions:
     pad: float = 1.0
     truncate: float = 2.0
     split: float = 32.0
-    shard_ids: int = 4096
+    shard_sentences: int = 65_536
     piece_bytes: int = 6
     tokenizer: str | None = None
 
@@ -156,12 +159,40 @@ def _lengths(docs: DataFrame, o: PackOptions) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, tokens array<int>")
 
 
+def _sharded(lengths: DataFrame, o: PackOptions) -> DataFrame:
+    """``lengths`` with ``place``, how many sentences stand before the document, and ``shard``.
+
+    A sort by ranges and one sum for each range; rows of one id and equal counts
+    are interchangeable, so a number of the row parts them.
+    """
+    rows = cut(lengths.withColumn("tie", F.xxhash64("tokens"))).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").drop("row"))
+    rows = rows.withColumn("range", F.spark_partition_id()).select("range", "doc_id", "tokens")
+    sizes = sorted(rows.groupBy("range").agg(F.sum(F.size("tokens")).alias("n")).collect())  # a row for each partition
+    before = dict(zip([r[0] for r in sizes], np.cumsum([0, *(r.n for r in sizes)]).tolist(), strict=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if place is None:
+                place = before[b.column(0)[0].as_py()]
+            n = b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = place + np.cumsum(n) - n
+            place += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(at // o.shard_sentences, pa.int64()), pa.array(at, pa.int64()), b.column(1), b.column(2)], ["shard", "place", "doc_id", "tokens"])
+
+    return rows.mapInArrow(run, "shard long, place long, doc_id long, tokens array<int>")
+
+
 SCHEMA = "shard long, window long, doc_ids array<long>, first_sentence long, last_sentence long, n_tokens long, padding long, truncated long, ends_inside boolean"
 
 
 def _pack(o: PackOptions) -> Callable[[pa.Table], pa.Table]:
     def pack(table: pa.Table) -> pa.Table:
-        rows = sorted((d, t) for d, t in zip(table["doc_id"].to_pylist(), table["tokens"].to_pylist(), strict=True) if t)
+        table = table.sort_by("place")
+        rows = list(zip(table["doc_id"].to_pylist(), (x.values.to_numpy(zero_copy_only=False) for x in table["tokens"]), strict=True))
         names = ["shard", "window", "doc_ids", "first_sentence", "last_sentence", "n_tokens", "padding", "truncated", "ends_inside"]
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 5, pa.bool_()]
         if not rows:
@@ -178,7 +209,7 @@ def _pack(o: PackOptions) -> Callable[[pa.Table], pa.Table]:
         ids = [r[0] for r in rows]
         shard = table["shard"][0].as_py()
         values = [
-            [shard] * len(ends), np.arange(len(ends)), [ids[doc[a] : doc[b - 1] + 1] if isinstance(ids, np.ndarray) else ids[int(doc[a]) : int(doc[b - 1]) + 1] for a, b in zip(begin, ends, strict=True)],
+            [shard] * len(ends), np.arange(len(ends)), [ids[int(doc[a]) : int(doc[b - 1]) + 1] for a, b in zip(begin, ends, strict=True)],
             nth[begin], nth[ends - 1], n, np.maximum(o.window - n, 0), np.maximum(n - o.window, 0), ~ends_doc[ends - 1],
         ]
         return pa.table({k: pa.array(v, t) for k, v, t in zip(names, values, types, strict=True)})
@@ -191,9 +222,10 @@ def pack_documents(docs: DataFrame, options: PackOptions | None = None) -> DataF
 
     ``first_sentence`` counts in the first document, ``last_sentence`` in the last.
     Documents without tokens (null, empty, white space) and rows without an id are
-    left out. Rows that repeat an id are packed one after the other. A sentence
+    left out. Rows that repeat an id are packed one after the other; ids are whole
+    numbers, in any spacing. A sentence
     longer than a window is cut off at its end. No documents give no windows.
     """
     o = options or PackOptions()
-    rows = _lengths(docs, o).filter(F.size("tokens") > 0).withColumn("shard", F.floor(F.col("doc_id") / o.shard_ids).cast("long"))
+    rows = _sharded(_lengths(docs, o).filter(F.size("tokens") > 0), o)
     return rows.groupBy("shard").applyInArrow(_pack(o), SCHEMA)

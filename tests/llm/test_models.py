@@ -256,20 +256,38 @@ def test_packing_equals_all_cuts(units, truncate, split):
 def test_packing_rows(spark):
     r = random.Random(9)
     texts = {i: prose(r, r.choice([5, 300, 2500])) for i in range(30)} | {5000: prose(r, 50)}
-    o = packing.PackOptions(window=512)
+    o = packing.PackOptions(window=512, shard_sentences=400)
+    counts = {i: packing.sentence_tokens(*T.buffers(__import__("pyarrow").array([t])), o)[0] for i, t in texts.items()}
+    want, before = {}, 0
+    for i in sorted(texts):
+        want.setdefault(before // o.shard_sentences, []).append(i)
+        before += len(counts[i])
     rows = sorted(packing.pack_documents(frame(spark, texts.items()), o).collect())
-    assert {x.shard for x in rows} == {0, 1}
-    for shard, ids in ((0, [i for i in texts if i < 4096]), (1, [5000])):
+    assert {x.shard for x in rows} == set(want) and len(want) > 3
+    for shard, ids in want.items():
         own = [x for x in rows if x.shard == shard]
         assert list(dict.fromkeys(i for x in own for i in x.doc_ids)) == ids
-        counts = {i: packing.sentence_tokens(*T.buffers(__import__("pyarrow").array([texts[i]])), o)[0] for i in ids}
-        assert sum(x.n_tokens for x in own) == sum(c.sum() for c in counts.values())
+        assert sum(x.n_tokens for x in own) == sum(counts[i].sum() for i in ids)
         tokens = np.concatenate([counts[i] for i in ids])
         ends_doc = np.concatenate([np.arange(1, len(counts[i]) + 1) == len(counts[i]) for i in ids])
         paid = sum(o.pad * x.padding + o.truncate * x.truncated + o.split * x.ends_inside for x in own)
         assert abs(paid - packing.cuts(tokens, ends_doc, o)[1]) < 1e-6
 
 
+def test_packing_does_not_depend_on_how_dense_ids_are(spark):
+    """Hashed ids, and one id that a third of all rows have, are packed as full as ids in a row."""
+    r = random.Random(10)
+    texts = [prose(r, 20) for _ in range(900)]
+    o = packing.PackOptions(window=512, shard_sentences=600)
+    padding = []
+    for name in (lambda i: i, lambda i: (i * 0x9E3779B97F4A7C15) % 2**64 - 2**63, lambda i: 7 if i % 3 else i):
+        rows = packing.pack_documents(frame(spark, [(name(i), t) for i, t in enumerate(texts)]).repartition(4), o).collect()
+        assert len({x.shard for x in rows}) == 3
+        assert sum(len(x.doc_ids) for x in rows) >= len(texts)
+        padding.append(sum(x.padding for x in rows))
+    assert max(padding) <= 2 * min(padding) and max(padding) < 4 * o.window
+
+
 def test_packing_with_a_tokenizer(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import os

@@ -3,15 +3,17 @@
 import json
 import os
 import random
+import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from mirrorlake.llm import chat, leaks, near, packing, queries, rules, secret_scan
-from tests.llm.fixtures import frame, prose
+from tests.llm.fixtures import WORD, frame, prose
 from tests.llm.test_search import brute_leaks, brute_repeats, groups_of, pairs_at_least
 
 D = "/root/testdata/sf0.001"
@@ -112,6 +114,36 @@ def test_queries_equal_brute_force(spark, texts):
         assert texts[r.doc_id][r.start : r.end] == r.span
 
 
+def plain_sentences(text, o):
+    """Tokens of the sentences of a text, in plain Python."""
+    out, total, at = [], 0, 0
+    for m in re.finditer(r"\n|[.!?](?=[ \t\n\r\f\v]|$)|$", text):
+        piece = text[at : m.end()]
+        at = m.end()
+        marks = sum(not c.isspace() and not WORD.fullmatch(c) for c in piece)
+        if total := sum(-(-len(w.encode()) // o.piece_bytes) for w in WORD.findall(piece)) + marks:
+            out.append(total)
+    return out
+
+
+@tables
+def test_packing_query_equals_all_cuts(spark, texts):
+    """Every last cut tried for every end, over all documents in the order of their ids."""
+    o = packing.PackOptions()
+    units = [(n, k == len(s) - 1) for i in sorted(texts) for s in [plain_sentences(texts[i] or "", o)] for k, n in enumerate(s)]
+    assert len(units) < o.shard_sentences  # one shard
+    total = np.concatenate([[0], np.cumsum([n for n, _ in units])])
+    best = np.zeros(len(units) + 1)
+    for j in range(1, len(units) + 1):
+        over = total[j] - total[:j] - o.window
+        best[j] = (best[:j] + np.where(over > 0, o.truncate * over, -o.pad * over)).min() + (0 if units[j - 1][1] else o.split)
+    rows = queries.queries()["op5_packing"](spark, D).collect()
+    assert sum(x.n_tokens for x in rows) == total[-1]
+    paid = sum(o.pad * x.padding + o.truncate * x.truncated + o.split * x.ends_inside for x in rows)
+    assert abs(paid - best[-1]) < 1e-6 * paid
+    assert list(dict.fromkeys(i for x in sorted(rows) for i in x.doc_ids)) == [i for i in sorted(texts) if plain_sentences(texts[i] or "", o)]
+
+
 @tables
 def test_pipeline_equals_its_stages_by_hand(spark, texts):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
