@@ -46,7 +46,10 @@ _DOMAIN = re.compile(r"[^\W_]+(?:-[^\W_]+)*(?:\.[^\W_]+(?:-[^\W_]+)*)*\.[^\W\d_]
 
 @dataclass(frozen=True)
 class PiiOptions:
-    """``longest``: tokens of an entity; ``reach``: bytes read on either side of a digit or @."""
+    """``longest``: tokens of an entity; ``reach``: bytes read on either side of a digit or @, and then on to white space.
+
+    ``reach`` loses nothing: between two digits of an entity stand fewer marks than that.
+    """
 
     longest: int = 24
     reach: int = 96
@@ -158,7 +161,8 @@ class SemiCrf:
     def entities(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, kind, score) of the entities in the best segmentation.
 
-        ``score`` is that of the span alone, in log-odds against plain text.
+        ``score`` is by how much the segmentation with the entity beats that with plain
+        text in its place, all else being the same: log-odds, never below zero.
         """
         spans, found = self.lattice(text)
         if not found:
@@ -184,13 +188,15 @@ class SemiCrf:
                     if v > best[j][k]:
                         best[j][k], back[j][k] = v, (i, y)
         out = []
-        j, y = n, max(labels, key=lambda k: best[n][k] + t[k][_O])  # the end counts as plain text
+        after = _O  # the end counts as plain text
+        j, y = n, max(labels, key=lambda k: best[n][k] + t[k][_O])
         while j > 0:
             i, x = back[j][y]
             if y != _O:
                 s = next(s for p, s in ends[j] if p == i)
-                out.append((spans[i][0], spans[j - 1][1], KINDS[y], s[y]))
-            j, y = i, x
+                plain = t[x][_O] + (j - i - 1) * t[_O][_O] + t[_O][after]
+                out.append((spans[i][0], spans[j - 1][1], KINDS[y], t[x][y] + s[y] + t[y][after] - plain))
+            j, y, after = i, x, y
         return out[::-1]
 
 
@@ -333,35 +339,24 @@ _TRIGGER = T.IS_DIGIT | (np.arange(256) == 64)
 def regions(raw: np.ndarray, offs: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first byte, byte after) of the stretches that may hold entities.
 
-    They reach ``reach`` bytes beyond each trigger, then to the next white space
-    within as much again, and never across documents.
+    They reach ``reach`` bytes beyond each trigger, then on to white space however
+    far that is, and never across documents; those that touch are one.
     """
-    base = int(offs[0])
-    hit = np.flatnonzero(_TRIGGER[raw[base : int(offs[-1])]]) + base
+    base, stop = int(offs[0]), int(offs[-1])
+    hit = np.flatnonzero(_TRIGGER[raw[base:stop]]) + base
     if not len(hit):
         return (np.zeros(0, np.int64),) * 3
+    space = np.flatnonzero(T.IS_SPACE[raw[base:stop]]) + base
     doc = np.searchsorted(offs, hit, "right") - 1
-    first = np.concatenate([[True], (np.diff(hit) > 2 * reach) | (np.diff(doc) > 0)])
+    begin, end = offs[doc], offs[doc + 1]
+    before = np.searchsorted(space, hit - reach, "right") - 1  # the last white space up to there
+    after = np.searchsorted(space, hit + reach, "left")
+    a = np.where(before >= 0, space[np.maximum(before, 0)] + 1, begin) if len(space) else begin
+    b = np.where(after < len(space), space[np.minimum(after, len(space) - 1)], end) if len(space) else end
+    a, b = np.maximum(a, begin), np.minimum(b, end)
+    first = np.append(True, (a[1:] > np.maximum.accumulate(b)[:-1]) | (np.diff(doc) > 0))
     at = np.flatnonzero(first)
-    last = np.append(at[1:], len(hit)) - 1
-    doc = doc[at]
-    a, b = np.maximum(hit[at] - reach, offs[doc]), np.minimum(hit[last] + 1 + reach, offs[doc + 1])
-    for k in range(len(a)):
-        lo, hi = int(a[k]), int(b[k])
-        if lo > offs[doc[k]]:
-            gap = np.flatnonzero(T.IS_SPACE[raw[lo : int(hit[at[k]])]])
-            if len(gap):
-                lo += int(gap[0]) + 1
-            while lo < hi and (raw[lo] & 0xC0) == 0x80:
-                lo += 1
-        if hi < offs[doc[k] + 1]:
-            gap = np.flatnonzero(T.IS_SPACE[raw[int(hit[last[k]]) : hi]])
-            if len(gap):
-                hi = int(hit[last[k]]) + int(gap[-1])
-            while hi > lo and (raw[hi] & 0xC0) == 0x80:
-                hi -= 1
-        a[k], b[k] = lo, hi
-    return doc, a, b
+    return doc[at], a[at], np.maximum.reduceat(b, at)
 
 
 def pii(docs: DataFrame, options: PiiOptions | None = None) -> DataFrame:
@@ -369,6 +364,8 @@ def pii(docs: DataFrame, options: PiiOptions | None = None) -> DataFrame:
 
     Whole texts are read; null and empty ones have none. Each occurrence has a
     row, also where documents or rows repeat; rows without an id keep a null id.
+    Ids are whole numbers. The kinds are those of :data:`KINDS`; entities of more
+    than ``longest`` tokens (runs of letters or digits, and single marks) are not found.
     """
     o = options or PiiOptions()
     model = fit(o)

@@ -218,6 +218,16 @@ def test_pii_holds_out():
     assert right / total > 0.9 and right / said > 0.9
 
 
+def test_pii_whole_spans_and_scores(spark):
+    """Addresses of any length come back whole; each score is what plain text in its place would lose."""
+    long = "a" * 300 + "@mail.example.com"
+    texts = {1: f"x {long} y", 2: f"{'b' * 5000}.c@{'d' * 400}.org", 3: "call 555-1234 or 10.0.0.1, 555-123-4567", 4: "漢字" * 200 + " 555-123-4567"}
+    rows = pii.pii(frame(spark, texts.items())).collect()
+    assert {(x.doc_id, x.span) for x in rows if x.kind == "email"} == {(1, long), (2, texts[2])}
+    assert all(texts[x.doc_id][x.start : x.end] == x.span and x.score >= -1e-9 for x in rows)
+    assert {x.span for x in rows if x.doc_id == 4} == {"555-123-4567"}
+
+
 def test_pii_regions_give_what_whole_texts_give(spark):
     r = random.Random(8)
     texts = {}
