@@ -176,8 +176,9 @@ def brute_leaks(texts, items, k, threshold):
     return out
 
 
-@pytest.mark.parametrize("index_rows", [2_000_000, 0])
-def test_leaks_equal_brute_force(spark, index_rows):
+@pytest.mark.parametrize("filter_bytes", [32 << 20, 512])
+def test_leaks_equal_brute_force(spark, filter_bytes):
+    """In one pass over the documents, and in four with parts of the filter."""
     r = random.Random(4)
     items = {i: prose(r, r.choice([3, 8, 20, 33, 64, 90])) for i in range(25)}
     texts = {}
@@ -191,7 +192,7 @@ def test_leaks_equal_brute_force(spark, index_rows):
             at = r.randrange(len(w))
             w[at:at] = [x.upper() for x in own]
         texts[d] = " ".join(w)
-    o = leaks.LeakOptions(index_rows=index_rows)
+    o = leaks.LeakOptions(filter_bytes=filter_bytes)
     got = {(x.doc_id, x.item_id): x for x in leaks.leaks(frame(spark, texts.items()), spark.createDataFrame(list(items.items()), "item_id long, text string"), o).collect()}
     want = brute_leaks(texts, items, o.shingle, o.threshold)
     assert len(want) >= 20
@@ -203,6 +204,24 @@ def test_leaks_equal_brute_force(spark, index_rows):
             assert x.containment >= want[d, i] - 1e-9 or x.containment >= o.threshold
 
 
+def test_leak_filter_lets_little_through(spark):
+    """However large the benchmark, what goes on to the join is a small part of the text."""
+    r = random.Random(12)
+    items = spark.createDataFrame([(i, prose(r, 30, 10**6)) for i in range(3000)], "item_id long, text string")
+    texts = [(i, prose(r, 400, 10**6)) for i in range(300)]
+    o = leaks.LeakOptions(filter_bytes=1 << 16)
+    keys = leaks.item_index(items, o).selectExpr("explode(keys) as key", "size").selectExpr("key ^ size as key")
+    assert keys.count() * leaks._BITS > 8 * o.filter_bytes
+    some = keys.filter("pmod(xxhash64(key), 4) = 0")
+    known = leaks._filter(some, 1 << 13)
+    went = leaks._hits(frame(spark, texts), [32], known, o).count()
+    windows = sum(-(-398 // 32) for _ in texts)
+    assert went < 0.01 * windows * leaks.HASHES
+    own = np.array([x.key for x in some.collect()])
+    block, bits = leaks._places(own, 1 << 13)
+    assert (known[block] & bits == bits).all()
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 160), st.sampled_from([1, 2, 3, 30]), st.sampled_from([3, 7, 10**6]), st.sampled_from([2, 10**6]))
 def test_suffix_order_equals_sorting(seed, n, letters, range_size, buffer):
