@@ -7,17 +7,21 @@
 2. Regions that share fingerprints go to the same shard: each takes the least
    fingerprint it can reach in a few rounds. Where that leaves a fingerprint in
    several shards, the text around all its places is sent to one more.
-3. A shard's regions are one text in a file, and external induced sorting
-   (:mod:`mirrorlake.llm.suffixes`) gives its suffixes in order with their common
-   prefixes. The shard's texts and working arrays must fit in memory: only the
-   runs of the sort are files. Stretches of suffixes with ``passage``
-   words in common, from two documents or more, are the repeats.
+3. A shard's regions are one text in a file, equal ones once, and external induced
+   sorting (:mod:`mirrorlake.llm.suffixes`) gives its suffixes in order with their
+   common prefixes. Stretches of suffixes with ``passage`` words in common, from two
+   documents or more, are the repeats. Rows go straight into files and results are
+   read from files in blocks, so a task needs as much memory for any shard.
+4. A label of more than ``label_words`` words, such as a licence that a third of all
+   documents have, would be one task's. Its passages are hashed instead, 128 bits each,
+   and counted by an aggregate, which finds the same.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import urlparse
 
 import numpy as np
@@ -26,19 +30,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mirrorlake.llm import text as T
-from mirrorlake.llm.suffixes import Scratch, SortOptions, suffix_order
+from mirrorlake.llm.suffixes import Log, Scratch, SortOptions, blocks, suffix_order
 from mirrorlake.operators.lineage import cut, shared_dir, small
 
 
 @dataclass(frozen=True)
 class RepeatOptions:
-    """``passage``: words that must repeat. ``shard_words``: words of a shard on average.
+    """``passage``: words that must repeat. ``shard_words``: words of a shard on average;
+    ``label_words``: of regions that share fingerprints, beyond which passages are hashed.
 
-    ``scratch``: folder for the sort's files; by default that of spark.checkpoint.dir.
+    ``scratch``: folder for the sort's files, which each task makes and removes; by default
+    that of spark.checkpoint.dir if it is mounted, else spark.local.dir as on the executors.
     """
 
     passage: int = 50
     shard_words: int = 400_000
+    label_words: int = 4_000_000
     rounds: int = 3
     scratch: str | None = None
     sort: SortOptions = SortOptions()
@@ -53,11 +60,20 @@ class RepeatOptions:
         return self.passage - self.gram + 1
 
 
-def _scratch(spark: SparkSession, o: RepeatOptions) -> str:
+def _scratch(spark: SparkSession, o: RepeatOptions) -> str | None:
+    """The folder of the sort's files, None for the executors' own."""
     where = urlparse(o.scratch or shared_dir(spark))
-    if where.scheme not in ("", "file"):
-        raise ValueError("the sort needs a mounted folder; give one as RepeatOptions.scratch")
-    return where.path
+    if where.scheme in ("", "file"):
+        return where.path
+    return spark.conf.get("spark.local.dir", None)
+
+
+def _own_scratch() -> str:
+    """Where this executor spills; a lost one's tasks start again elsewhere."""
+    named = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS")
+    if not named:
+        raise ValueError("the sort needs a mounted folder: RepeatOptions.scratch, spark.local.dir or SPARK_LOCAL_DIRS")
+    return named.split(",")[0]
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -127,8 +143,14 @@ def pieces(live: DataFrame, o: RepeatOptions) -> DataFrame:
     return extent.drop("label").join(label, "rid").select("doc_id", "label", "begin", "stop").unionByName(more.select("doc_id", "label", "begin", "stop"))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(shard, doc_id, begin, words) of the wanted stretches, words as 64-bit hashes."""
+def _stretches(docs: DataFrame, wanted: DataFrame, o: RepeatOptions) -> DataFrame:
+    """(doc_id, text, p) of the documents that have ``wanted`` stretches, p being their (shard, begin, stop)."""
+    by_doc = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "begin", "stop")).alias("p")))
+    return _source(docs).join(small(by_doc), "doc_id").select("doc_id", "text", "p")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, o: RepeatOptions) -> DataFrame:
+    """(shard, whole, doc_id, begin, words) of the wanted stretches, words as 64-bit hashes, and a number of them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,86 +158,179 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             ids, lists = b.column(0), b.column(2)
             for lo, hi in T.slices(offs):
                 word, first = T.words(raw, offs[lo : hi + 1])
+                word = word >> np.uint64(1)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(word) * (2 * np.arange(len(word), dtype=np.uint64) + np.uint64(1)))])
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(word))])
                 out: list[tuple] = []
                 for d in range(lo, hi):
-                    own = word[first[d - lo] : first[d - lo + 1]]
+                    start, end = int(first[d - lo]), int(first[d - lo + 1])
                     for p in lists[d].as_py():
-                        a = max(0, p["begin"])
-                        piece = own[a : p["stop"]]
-                        if len(piece):
-                            out.append((p["shard"], ids[d].as_py(), a, (piece >> np.uint64(1)).astype(np.int64).tobytes()))
+                        x, y = start + max(0, p["begin"]), min(end, start + p["stop"])
+                        if x < y:  # the weights of places count from x
+                            whole = (int(total[y]) - int(total[x]) - 2 * x * (int(sums[y]) - int(sums[x]))) % 2**64
+                            out.append((p["shard"], whole - 2**63, ids[d].as_py(), x - start, word[x:y].astype(np.int64).tobytes()))
                 if out:
-                    s, i, a, w = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(i, pa.int64()), pa.array(a, pa.int32()), pa.array(w, pa.binary())], ["shard", "doc_id", "begin", "words"])
+                    s, h, i, a, w = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(a, pa.int32()), pa.array(w, pa.binary())], ["shard", "whole", "doc_id", "begin", "words"])
 
-    by_doc = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "begin", "stop")).alias("p")))
-    return _source(docs).join(small(by_doc), "doc_id").select("doc_id", "text", "p").mapInArrow(run, "shard int, doc_id long, begin int, words binary")
+    return _stretches(docs, wanted, o).mapInArrow(run, "shard int, whole long, doc_id long, begin int, words binary")
 
 
-def shard_repeats(text: np.ndarray, doc: np.ndarray, scratch: Scratch, o: RepeatOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in a shard's text where a passage begins that another document has too.
+class _Shard:
+    """The stretches of one shard in files: each different text once, and who has it.
 
-    ``doc`` is the document of each place. Returns the places, the least document
-    that has the passage and how many places have it.
+    Rows come in the order of ``whole``, document and place.
     """
-    pos, lcp = suffix_order(text, scratch, SortOptions(o.passage, o.sort.range_size, o.sort.buffer))
-    if not len(pos):
-        return (np.zeros(0, np.int64),) * 3
-    pos, lcp = np.asarray(pos), np.asarray(lcp)
-    head = np.flatnonzero(lcp < o.passage)
-    size = np.diff(np.append(head, len(pos)))
-    of = doc[pos]
-    least, most = np.minimum.reduceat(of, head), np.maximum.reduceat(of, head)
-    good = np.flatnonzero(least != most)
-    group = np.repeat(np.arange(len(head)), size)
-    keep = np.isin(group, good)
-    return pos[keep], least[group[keep]], size[group[keep]]
-
-
-def _sorted_shards(rows: DataFrame, o: RepeatOptions, root: str) -> DataFrame:
-    """(doc_id, begin, stop, first_doc, copies) of the repeats found in each shard."""
 
-    def spans(texts: list[np.ndarray], meta: list[tuple[int, int, int]]) -> list[tuple]:
-        with Scratch(root) as scratch:
-            n = sum(len(t) for t in texts) + len(texts)
-            text, doc, at = (scratch.keep(np.empty(n, np.int64)) for _ in range(3))
-            p = 0
-            for k, (t, (d, a, _)) in enumerate(zip(texts, meta, strict=True)):
-                q = p + len(t)
-                text[p:q], doc[p:q], at[p:q] = t, d, np.arange(a, a + len(t))
-                text[q], doc[q], at[q] = k - len(texts), d, -1  # ends are symbols found nowhere else
-                p = q + 1
-            text[n - 1] = -len(texts) - 1
-            place, least, size = shard_repeats(text, doc, scratch, o)
-            order = np.argsort(place)
-            place, least, size = place[order], least[order], size[order]
+    _TEXT = np.dtype([("start", np.int64), ("size", np.int64), ("least", np.int64), ("most", np.int64), ("count", np.int64), ("first", np.int64)])
+    _OWNER = np.dtype([("doc", np.int64), ("begin", np.int64)])
+
+    def __init__(self, scratch: Scratch, o: RepeatOptions):
+        self.scratch, self.o = scratch, o
+        self.words, self.texts, self.owners = (Log(scratch, k, o.sort.buffer) for k in (np.int64, self._TEXT, self._OWNER))
+        self.now: list[int] | None = None
+        self.same: tuple | None = None
+
+    def add(self, whole: int, doc: int, begin: int, words: bytes) -> None:
+        mark = (whole, len(words))
+        if self.now is None or self.same[0] != mark:
+            self._close()
+            w = np.frombuffer(words, np.int64)
+            self.now = [self.words.n, len(w), doc, doc, 0, self.owners.n]
+            self.words.add(w)
+            self.words.add(np.array([-self.texts.n - 1]))  # ends are symbols found nowhere else, the last the least
+        elif self.same[1:] == (doc, begin):
+            return
+        self.same = (mark, doc, begin)
+        self.now[3] = max(self.now[3], doc)
+        self.now[2] = min(self.now[2], doc)
+        self.now[4] += 1
+        self.owners.add(np.array([(doc, begin)], self._OWNER))
+
+    def _close(self) -> None:
+        if self.now is not None:
+            self.texts.add(np.array([tuple(self.now)], self._TEXT))
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(doc_id, begin, stop, first_doc, copies) of the stretches that repeat, in parts."""
+        self._close()
+        self.now = None
+        o, block, n = self.o, max(64, self.o.sort.buffer), self.words.n
+        texts, owners = self.texts.all(), self.owners.all()
+        start = np.ascontiguousarray(texts["start"]) if len(texts) < block else texts["start"]
+        pos, lcp = suffix_order(self.words.all(), self.scratch, replace(o.sort, cap=o.passage))
+        groups, held = Log(self.scratch, np.dtype([("least", np.int64), ("most", np.int64), ("count", np.int64)]), block), None
+
+        def of(p: np.ndarray) -> np.ndarray:
+            return np.searchsorted(start, p, "right") - 1
+
+        for lo, hi in blocks(len(pos), block):  # groups of suffixes with a passage in common
+            t = texts[of(pos[lo:hi])]
+            head = np.flatnonzero(lcp[lo:hi] < o.passage)
+            edge = head if len(head) and head[0] == 0 else np.append(0, head)
+            rows = np.empty(len(edge), groups.dtype)
+            rows["least"], rows["most"], rows["count"] = np.minimum.reduceat(t["least"], edge), np.maximum.reduceat(t["most"], edge), np.add.reduceat(t["count"], edge)
+            if held is not None and (not len(head) or head[0] > 0):
+                rows["least"][0], rows["most"][0] = min(rows["least"][0], held["least"][0]), max(rows["most"][0], held["most"][0])
+                rows["count"][0] += held["count"][0]
+            elif held is not None:
+                groups.add(held)
+            groups.add(rows[:-1])
+            held = rows[-1:].copy()
+        if held is not None:
+            groups.add(held)
+        groups, seen = groups.all(), -1
+        least, count = self.scratch.empty(n, np.int64), self.scratch.empty(n, np.int64)
+        for lo, hi in blocks(len(pos), block):
+            p = pos[lo:hi]
+            nth = seen + np.cumsum(lcp[lo:hi] < o.passage)
+            seen = int(nth[-1])
+            t, g = texts[of(p)], groups[nth]
+            good = (g["least"] != g["most"]) & (p - t["start"] + o.passage <= t["size"])
+            least[p[good]], count[p[good]] = g["least"][good], g["count"][good]
+        open_: tuple | None = None
+        for lo, hi in blocks(n, block):
+            place = np.flatnonzero(count[lo:hi]) + lo
             if not len(place):
-                return []
+                continue
             edge = np.flatnonzero(np.append(True, np.diff(place) > o.passage))
-            out = []
-            for x, y in zip(edge, [*edge[1:], len(place)], strict=True):
-                i, j = int(place[x]), int(place[y - 1])
-                out.append((int(doc[i]), int(at[i]), int(at[j]) + o.passage, int(least[x:y].min()), int(size[x:y].max())))
-            return out
+            a, z = place[edge], place[np.append(edge[1:], len(place)) - 1]
+            low, most = np.minimum.reduceat(least[place], edge), np.maximum.reduceat(count[place], edge)
+            if open_ is not None:
+                if a[0] - open_[1] <= o.passage:
+                    a[0], low[0], most[0] = open_[0], min(low[0], open_[2]), max(most[0], open_[3])
+                else:
+                    a, z, low, most = (np.append(x, y) for x, y in zip(open_, (a, z, low, most), strict=True))
+            yield from self._spans(a[:-1], z[:-1], low[:-1], most[:-1], texts, of, owners, block)
+            open_ = int(a[-1]), int(z[-1]), int(low[-1]), int(most[-1])
+        if open_ is not None:
+            yield from self._spans(*(np.array([x]) for x in open_), texts, of, owners, block)
+
+    def _spans(self, a: np.ndarray, z: np.ndarray, low: np.ndarray, most: np.ndarray, texts: np.ndarray, of: object, owners: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Each span for all that have its text."""
+        if not len(a):
+            return
+        t = texts[of(a)]
+        total = np.cumsum(t["count"])
+        for x in range(0, int(total[-1]), block):
+            row = np.arange(x, min(x + block, int(total[-1])))
+            k = np.searchsorted(total, row, "right")
+            own = owners[t["first"][k] + row - (total[k] - t["count"][k])]
+            begin = own["begin"] + a[k] - t["start"][k]
+            yield own["doc"], begin, begin + z[k] - a[k] + self.o.passage, low[k], most[k]
+
+
+def _sorted_shards(rows: DataFrame, o: RepeatOptions, root: str | None) -> DataFrame:
+    """(doc_id, begin, stop, first_doc, copies) of the repeats found in each shard."""
 
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc_id", "begin", "stop", "first_doc", "copies"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(shard: _Shard) -> Iterator[pa.RecordBatch]:
+            for columns in shard.repeats():
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "begin", "stop", "first_doc", "copies"])
+
+        now, shard, scratch = None, None, None
+        try:
+            for b in batches:
+                for s, h, d, a, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if s != now:
+                        if shard is not None:
+                            yield from found(shard)
+                            scratch.__exit__()
+                        scratch = Scratch(root or _own_scratch())
+                        now, shard = s, _Shard(scratch, o)
+                    shard.add(h, d, a, w)
+            if shard is not None:
+                yield from found(shard)
+        finally:
+            if scratch is not None:
+                scratch.__exit__()
+
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "whole", "doc_id", "begin")
+    return rows.mapInArrow(run, "doc_id long, begin long, stop long, first_doc long, copies long")
+
+
+def _hashed(docs: DataFrame, wanted: DataFrame, o: RepeatOptions) -> DataFrame:
+    """The same as :func:`_sorted_shards` of stretches that are too many for a task, by counting 128-bit hashes of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, texts, meta = None, [], []
         for b in batches:
-            for s, d, a, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s != shard:
-                    if texts and (found := spans(texts, meta)):
-                        yield batch_of(found)
-                    shard, texts, meta = s, [], []
-                texts.append(np.frombuffer(w, np.int64))
-                meta.append((d, a, len(texts)))
-        if texts and (found := spans(texts, meta)):
-            yield batch_of(found)
-
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "begin")
-    return rows.mapInArrow(run, "doc_id long, begin long, stop long, first_doc long, copies long")
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            raw, offs = T.buffers(b.column(1))
+            for lo, hi in T.slices(offs):
+                word, first = T.words(raw, offs[lo : hi + 1])
+                (x, place), (y, _) = T.shingles(word, first, o.passage), T.shingles(T.mix(word), first, o.passage)
+                for d in range(lo, hi):
+                    n = int(place[d - lo + 1] - place[d - lo])
+                    inside = np.zeros(n, bool)
+                    for p in b.column(2)[d].as_py():
+                        inside[max(0, p["begin"]) : max(0, p["stop"] - o.passage + 1)] = True
+                    at = np.flatnonzero(inside)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(T.as_signed(x[place[d - lo] + at])), pa.array(T.as_signed(y[place[d - lo] + at])), pa.array(np.full(len(at), ids[d]), pa.int64()), pa.array(at, pa.int64())], ["x", "y", "doc_id", "begin"])
+
+    rows = cut(_stretches(docs, wanted, o).mapInArrow(run, "x long, y long, doc_id long, begin long").distinct())
+    many = rows.groupBy("x", "y").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("most"), F.count("*").alias("copies")).filter("first_doc <> most")
+    return rows.join(many, ["x", "y"]).select("doc_id", "begin", (F.col("begin") + o.passage).alias("stop"), "first_doc", "copies")
 
 
 def repeated_passages(docs: DataFrame, options: RepeatOptions | None = None) -> DataFrame:
@@ -226,18 +341,23 @@ def repeated_passages(docs: DataFrame, options: RepeatOptions | None = None) ->
     documents that have one of them, ``copies`` the most places that one is found
     at. Case and punctuation don't count. Passages repeated within one document
     only are left alone, and so are texts shorter than a passage, null or empty,
-    and rows without an id. Rows that repeat an id are one document. No
-    documents give no rows.
+    and rows without an id. Rows that repeat an id are one document. Ids are whole
+    numbers. No documents give no rows.
     """
     o = options or RepeatOptions()
-    spark = docs.sparkSession
-    many = F.count("*").over(Window.partitionBy("fp"))
-    live = cut(fingerprints(docs, o).withColumn("n", many).filter("n > 1").select("fp", "doc_id", "at"))
+    every = cut(fingerprints(docs, o))
+    many = cut(every.groupBy("fp").count().filter("count > 1").select("fp"))
+    live = cut(every.join(small(many), "fp", "left_semi").select("fp", "doc_id", "at").distinct())
     wanted = cut(pieces(live, o))
+    sizes = wanted.groupBy("label").agg(F.sum(F.col("stop") - F.col("begin")).alias("words"))
+    hot = cut(sizes.filter(F.col("words") > o.label_words).select("label"))
     total = wanted.agg(F.coalesce(F.sum(F.col("stop") - F.col("begin")), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // o.shard_words))
-    wanted = wanted.select("doc_id", F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int").alias("shard"), "begin", "stop")
-    found = _sorted_shards(_texts(docs, wanted), o, _scratch(spark, o))
+    wanted = wanted.withColumn("shard", F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int"))
+    some = wanted.join(small(hot), "label", "left_anti")
+    found = _sorted_shards(_texts(docs, some.select("doc_id", "shard", "begin", "stop"), o), o, _scratch(docs.sparkSession, o))
+    if hot.take(1):
+        found = found.unionByName(_hashed(docs, wanted.join(small(hot), "label", "left_semi").select("doc_id", "shard", "begin", "stop"), o))
     w = Window.partitionBy("doc_id").orderBy("begin", "stop")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     merged = found.withColumn("new", F.when(F.col("begin") <= before, 0).otherwise(1)).withColumn("nth", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -5,39 +5,44 @@ Memory" (2013). A text is a file of 64-bit symbols. Suffixes fall into two types
 by whether the next suffix is smaller (L) or larger (S); the S suffixes after an
 L are sorted first, by recursion on the names of the stretches between them, and
 induce all others in two sweeps. A sweep takes suffixes in order from a priority
-queue of (symbol, arrival) and puts their left neighbours into it. Arrivals come
-in order, so the queue is one of buckets; those of symbols beyond the current
-range wait in files. With each suffix goes its common prefix with the suffix
-before it, up to ``cap``: one more than the least of those between the two
-suffixes that induced them, from a monotone stack inside a range and from block
-minima for tuples read back from disk.
-
-In memory are one range of symbols, its buckets, and arrays that are mapped from
-files; ``range_size`` and ``buffer`` set how much.
+queue and puts the suffixes to their left into it, as tuples of place, arrival and
+run: suffixes of one symbol c stand in the order of how often c follows itself,
+then of the arrival of the suffix after that run. The queue is one of ranges of
+symbols. A range's tuples wait in a file; when its turn comes they are laid out by
+symbol, and its symbols are taken in groups, as large as none of a group's suffixes
+induces another, each by a few array operations. With each suffix goes its common
+prefix with the suffix before it, up to ``cap``: that of the runs, and where these
+are equal one more than the least of those between the two suffixes that induced
+them, from minima of blocks that grow with the sweep.
+
+In memory are the tuples of one range, ``range_size`` on average, and ``buffer``
+tuples that are to be written; a symbol with more than that is read in parts, of
+which those in runs of the same symbol are sorted together. All that is as long as
+the text, such as the text, types, orders, prefixes and their minima, is in files
+that are mapped and read in blocks or at the places that a group of suffixes has.
 """
 
 from __future__ import annotations
 
-import heapq
 import os
 import shutil
 import uuid
-from array import array
-from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-_BLOCK = 64
+_BLOCK = 16
+_TUPLE = np.dtype([("place", np.int64), ("arrival", np.int64), ("run", np.int64)])
 
 
 @dataclass(frozen=True)
 class SortOptions:
-    """``range_size``: suffixes whose symbols form a range; ``buffer``: tuples held before they are written."""
+    """``range_size``: suffixes whose symbols form a range; ``buffer``: tuples held before they are written, and read at once."""
 
     cap: int = 50
     range_size: int = 1_000_000
-    buffer: int = 1_000_000
+    buffer: int = 250_000
 
 
 class Scratch:
@@ -52,13 +57,15 @@ class Scratch:
         self._n += 1
         return os.path.join(self.path, str(self._n))
 
+    def empty(self, n: int, dtype: object) -> np.ndarray:
+        """A mapped file of ``n`` zeros."""
+        return np.asarray(np.memmap(self.file(), dtype, "w+", shape=n)) if n else np.zeros(0, dtype)
+
     def keep(self, values: np.ndarray) -> np.ndarray:
         """``values`` in a file, mapped back."""
-        if not len(values):
-            return values
-        name = self.file()
-        values.tofile(name)
-        return np.memmap(name, values.dtype, "r+")
+        out = self.empty(len(values), values.dtype)
+        out[:] = values
+        return out
 
     def __enter__(self) -> Scratch:
         return self
@@ -67,84 +74,114 @@ class Scratch:
         shutil.rmtree(self.path, ignore_errors=True)
 
 
-class _Column:
-    """Values appended in memory and from time to time to a file."""
+class Log:
+    """Values appended to a file, by ``limit`` of them."""
 
-    def __init__(self, scratch: Scratch, kind: str, dtype: type, limit: int):
-        self.name, self.dtype, self.limit = scratch.file(), dtype, limit
-        self.now = array(kind)
-        self.n = 0
+    def __init__(self, scratch: Scratch, dtype: object, limit: int):
+        self.name, self.dtype, self.limit = scratch.file(), np.dtype(dtype), limit
+        self.now: list[np.ndarray] = []
+        self.held = self.n = 0
+
+    def add(self, values: np.ndarray) -> None:
+        if len(values):
+            self.now.append(np.ascontiguousarray(values, self.dtype))
+            self.held += len(values)
+            self.n += len(values)
+            if self.held >= self.limit:
+                self.flush()
 
     def flush(self) -> None:
         if self.now:
             with open(self.name, "ab") as f:
-                self.now.tofile(f)
-            self.n += len(self.now)
-            del self.now[:]
+                for x in self.now:
+                    x.tofile(f)
+            self.now, self.held = [], 0
 
     def all(self) -> np.ndarray:
-        """Everything so far; from the file if anything is there."""
-        if not self.n:
-            return np.array(self.now, self.dtype)
+        """Everything so far, mapped."""
         self.flush()
-        return np.memmap(self.name, self.dtype, "r")
+        return np.asarray(np.memmap(self.name, self.dtype, "r")) if self.n else np.zeros(0, self.dtype)
 
     def drop(self) -> None:
-        if self.n:
+        self.now = []
+        if os.path.exists(self.name):
             os.remove(self.name)
 
 
+class _Ranges:
+    """A log for each range of symbols; together they hold ``limit`` values in memory."""
+
+    def __init__(self, scratch: Scratch, dtype: object, n: int, limit: int):
+        self.logs = [Log(scratch, dtype, 1 << 60) for _ in range(n)]
+        self.limit, self.held = limit, 0
+
+    def add(self, to: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        edge = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(to)], strict=False):
+            self.logs[int(to[a])].add(values[order[a:b]])
+        self.held += len(to)
+        if self.held >= self.limit:
+            for log in self.logs:
+                log.flush()
+            self.held = 0
+
+
+def blocks(n: int, size: int) -> Iterator[tuple[int, int]]:
+    for lo in range(0, n, size):
+        yield lo, min(n, lo + size)
+
+
 class _Minima:
-    """Least common prefix over stretches of the sweep so far; one byte a suffix, twice."""
+    """Least common prefix over stretches of the sweep so far, in mapped files."""
 
-    def __init__(self) -> None:
-        self.head: list[np.ndarray] = []
-        self.tail: list[np.ndarray] = []
+    def __init__(self, scratch: Scratch, n: int):
+        self.scratch, self.room = scratch, -(-n // _BLOCK) * _BLOCK
+        self.raw, self.head, self.tail = (scratch.empty(self.room, np.uint8) for _ in range(3))
         self.table: list[np.ndarray] = []
         self.size = 0
 
     def add(self, values: np.ndarray) -> None:
-        """Values of the next orders, filled up to whole blocks."""
-        if len(values):
-            v = np.full(-(-len(values) // _BLOCK) * _BLOCK, 255, np.uint8)
-            v[: len(values)] = values
-            v = v.reshape(-1, _BLOCK)
-            self.head.append(np.minimum.accumulate(v, 1).ravel())
-            self.tail.append(np.minimum.accumulate(v[:, ::-1], 1)[:, ::-1].ravel())
-            self.raw = [*getattr(self, "raw", []), v.ravel()]
-            self.size += v.size
-
-    def ready(self) -> None:
-        if len(self.head) > 1:
-            self.head, self.tail, self.raw = [np.concatenate(self.head)], [np.concatenate(self.tail)], [np.concatenate(self.raw)]
-        if self.head:
-            self.table = [self.tail[0][::_BLOCK]]
-            while 2 << (len(self.table) - 1) <= len(self.table[0]):
-                t, w = self.table[-1], 1 << (len(self.table) - 1)
-                self.table.append(np.minimum(t[:-w], t[w:]))
+        lo, hi = self.size // _BLOCK * _BLOCK, self.size + len(values)
+        end = -(-hi // _BLOCK) * _BLOCK
+        self.raw[self.size : hi] = values
+        self.raw[hi:end] = 255
+        v = self.raw[lo:end].reshape(-1, _BLOCK)
+        np.minimum.accumulate(v, 1, out=self.head[lo:end].reshape(-1, _BLOCK))
+        self.tail[lo:end] = np.minimum.accumulate(v[:, ::-1], 1)[:, ::-1].ravel()
+        was, now = self.size // _BLOCK, hi // _BLOCK  # whole blocks
+        self.size = hi
+        if now == was:
+            return
+        width, level = 1, 0
+        while width <= now:
+            if level == len(self.table):
+                self.table.append(self.scratch.empty(self.room // _BLOCK, np.uint8))
+            a, b = max(0, was - width + 1), now - width + 1
+            if level:
+                below = self.table[level - 1]
+                self.table[level][a:b] = np.minimum(below[a:b], below[a + width // 2 : b + width // 2])
+            else:
+                self.table[0][a:b] = self.tail[a * _BLOCK : b * _BLOCK : _BLOCK]
+            width, level = width * 2, level + 1
 
     def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Minima over [lo, hi], for arrays of both."""
         a, b = lo // _BLOCK, hi // _BLOCK
-        out = np.minimum(self.tail[0][lo], self.head[0][hi])
+        out = np.minimum(self.tail[lo], self.head[hi])
         mid = np.flatnonzero(b - a > 1)
         if len(mid):
             s, n = a[mid] + 1, b[mid] - a[mid] - 1
             level = np.frexp(n.astype(float))[1] - 1
-            for k in np.unique(level):
-                m = level == k
-                i, t = mid[m], self.table[k]
-                out[i] = np.minimum(out[i], np.minimum(t[s[m]], t[s[m] + n[m] - (1 << int(k))]))
+            for k in np.flatnonzero(np.bincount(level)).tolist():
+                m = np.flatnonzero(level == k)
+                t = self.table[k]
+                out[mid[m]] = np.minimum(out[mid[m]], np.minimum(t[s[m]], t[s[m] + n[m] - (1 << k)]))
         same = np.flatnonzero(a == b)
         if len(same):
-            x, y = lo[same], hi[same]
-            v = self.raw[0][x]
-            for step in range(1, _BLOCK):
-                more = x + step <= y
-                if not more.any():
-                    break
-                v[more] = np.minimum(v[more], self.raw[0][(x + step)[more]])
-            out[same] = v
+            at = np.minimum(lo[same, None] + np.arange(_BLOCK), hi[same, None])
+            out[same] = self.raw[at].min(1)
         return out
 
 
@@ -163,174 +200,239 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, c
     return out
 
 
-def _types(text: np.ndarray, scratch: Scratch) -> np.ndarray:
-    """1 where a suffix is of type S; the text ends with its least symbol, found nowhere else."""
-    n = len(text)
-    out = scratch.keep(np.ones(n, np.uint8))
-    after = np.uint8(1)
-    for hi in range(n - 1, 0, -(1 << 20)):
-        lo = max(0, hi - (1 << 20))
-        a, b = text[lo:hi], text[lo + 1 : hi + 1]
-        s, equal = (a < b).astype(np.uint8), a == b
-        if equal.any():  # the type of the next suffix that differs
-            at = np.where(equal, hi - lo, np.arange(hi - lo))
-            at = np.minimum.accumulate(at[::-1])[::-1]
-            s = np.append(s, after)[at]
-        out[lo:hi] = s
-        after = s[0]
-    return out
+class _Text:
+    """A text with, for each place, its type (1: S), how many equal symbols end there and how many more follow."""
+
+    def __init__(self, text: np.ndarray, scratch: Scratch, o: SortOptions):
+        n = len(text)
+        self.text, self.n, self.size = text, n, max(_BLOCK, o.buffer)
+        self.kind, self.left, self.right = scratch.empty(n, np.uint8), scratch.empty(n, np.int32), scratch.empty(n, np.int32)
+        start = 0
+        for lo, hi in blocks(n, self.size):
+            at = np.arange(lo, hi)
+            new = np.append(lo == 0 or text[lo] != text[lo - 1], text[lo + 1 : hi] != text[lo : hi - 1])
+            first = np.maximum.accumulate(np.where(new, at, start))
+            self.left[lo:hi], start = at - first + 1, int(first[-1])
+        self.kind[n - 1] = after = 1
+        stop = n - 1
+        for lo, hi in reversed(list(blocks(n - 1, self.size))):
+            a, b = text[lo:hi], text[lo + 1 : hi + 1]
+            equal = a == b
+            at = np.arange(lo, hi)
+            last = np.minimum.accumulate(np.where(equal, stop, at)[::-1])[::-1]
+            s = np.append((a < b).astype(np.uint8), np.uint8(after))
+            self.kind[lo:hi] = s[np.where(last < hi, last - lo, hi - lo)]
+            self.right[lo:hi] = last - at
+            stop, after = int(last[0]), int(self.kind[lo])
+
+    def stars(self, at: np.ndarray) -> np.ndarray:
+        """Which places are of type S after one of type L."""
+        return (self.kind[at] == 1) & (at > 0) & (self.kind[np.maximum(at - 1, 0)] == 0)
+
+
+def _bounds(text: np.ndarray, sign: int, size: int) -> np.ndarray:
+    """Symbols that part the suffixes into ranges of about ``size``, from a regular sample; frequent ones are ranges of their own."""
+    n = -(-len(text) // size)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    some = np.sort(text[:: max(1, len(text) // 100_000)] * sign)
+    at = some[np.arange(1, n) * len(some) // n]
+    hot = at[:-1][at[1:] == at[:-1]]
+    return np.unique(np.concatenate([at, hot + 1]))
 
 
-def _sweep(text: np.ndarray, kind: np.ndarray, want: int, seeds: np.ndarray, seed_lcp: np.ndarray | None, bounds: list[int], sign: int, o: SortOptions, scratch: Scratch, with_seeds: bool) -> tuple[np.ndarray, np.ndarray]:
+class _Sweep:
     """Suffixes of type ``want`` induced by sorted ``seeds``, in order of ``sign`` times the symbol.
 
     Within a symbol the induced come first, then its seeds, which are induced from
-    too. Returns positions and common prefixes with the suffix before, of the
-    induced or with ``with_seeds`` of all; without ``seed_lcp`` prefixes are zero.
+    too. Gives places and common prefixes with the suffix before, of the induced or
+    with ``with_seeds`` of all; without ``seed_lcp`` prefixes are zero.
     """
-    T, K = memoryview(text), memoryview(kind)
-    cap = o.cap if seed_lcp is not None else 0
-    ranges = len(bounds) + 1
-    seed_symbol = text[seeds] * sign
-    edges = np.searchsorted(seed_symbol, np.array(bounds, np.int64), "left") if bounds else np.zeros(0, np.int64)
-    edges = [0, *edges.tolist(), len(seeds)]
-    waiting = [(_Column(scratch, "q", np.int64, 0), _Column(scratch, "q", np.int64, 0)) for _ in range(ranges)]
-    held = 0
-    out_p, out_l = _Column(scratch, "q", np.int64, 0), _Column(scratch, "B", np.uint8, 0)
-    put_p, put_l = out_p.now.append, out_l.now.append
-    minima = _Minima()
-    top_v: list[int] = []
-    top_o: list[int] = []
-    order = 0
-    for r in range(ranges):
-        began, scan = order, bytearray()
-        last: dict[int, int] = {}
-        buckets: dict[int, tuple[list[int], list[int]]] = {}
-        pos, when = (c.all() for c in waiting[r])
-        if len(pos):
-            symbol = text[pos] * sign
-            by = np.argsort(symbol, kind="stable")
-            symbol, pos, when = symbol[by], np.asarray(pos)[by], np.asarray(when)[by]
-            first = np.append(True, symbol[1:] != symbol[:-1])
-            lcp = np.zeros(len(pos), np.int64)
-            if cap:
-                minima.ready()
-                again = np.flatnonzero(~first)
-                lcp[again] = np.minimum(minima.least(when[again - 1] + 1, when[again]).astype(np.int64) + 1, cap)
-            cut = np.append(np.flatnonzero(first), len(pos)).tolist()
-            heads, ends = symbol[cut[:-1]].tolist(), when[np.array(cut[1:], np.int64) - 1].tolist()
-            pos, lcp = pos.tolist(), lcp.tolist()
-            for k, c in enumerate(heads):
-                buckets[c] = (pos[cut[k] : cut[k + 1]], lcp[cut[k] : cut[k + 1]])
-                last[c] = ends[k]
-        for c in waiting[r]:
-            c.drop()
-        s, s_end = edges[r], edges[r + 1]
-        own = np.asarray(seeds[s:s_end]).tolist()
-        own_c = seed_symbol[s:s_end].tolist()
-        own_l = np.asarray(seed_lcp[s:s_end]).tolist() if cap else None
-        at, n_own = 0, s_end - s
-        heap = sorted({*buckets, *own_c})
-        queued = set(heap)
-        upper = bounds[r] if r < ranges - 1 else None
-        while heap:
-            c = heapq.heappop(heap)
-            p = before = -1
-            got = buckets.pop(c, None)
-            if got is None:
-                got = buckets[c] = ([], [])
+
+    def __init__(self, t: _Text, want: int, seeds: np.ndarray, seed_lcp: np.ndarray | None, sign: int, o: SortOptions, scratch: Scratch, with_seeds: bool):
+        self.t, self.want, self.seeds, self.seed_lcp, self.sign, self.o, self.scratch = t, want, seeds, seed_lcp, sign, o, scratch
+        self.with_seeds, self.cap = with_seeds, o.cap if seed_lcp is not None else 0
+        self.bounds = _bounds(t.text, sign, o.range_size)
+        self.waiting = _Ranges(scratch, _TUPLE, len(self.bounds) + 1, t.size)
+        self.out_p, self.out_l = Log(scratch, np.int64, t.size), Log(scratch, np.uint8, t.size)
+        self.minima = _Minima(scratch, t.n) if self.cap else None
+        self.order = 0
+        self.last = None
+
+    def run(self) -> tuple[np.ndarray, np.ndarray]:
+        t, n_ranges = self.t, len(self.bounds) + 1
+        symbols, pairs = _Ranges(self.scratch, np.int64, n_ranges, t.size), _Ranges(self.scratch, np.dtype([("of", np.int64), ("by", np.int64)]), n_ranges, t.size)
+        for lo, hi in blocks(t.n - 1, t.size):  # the last suffix is not induced
+            at = np.flatnonzero(t.kind[lo:hi] == self.want) + lo
+            c = t.text[at] * self.sign
+            r = np.searchsorted(self.bounds, c, "right")
+            symbols.add(r, c)
+            end = np.flatnonzero(t.right[at] == 0)
+            by = t.text[at[end] + 1] * self.sign
+            end, by = end[(inside := np.searchsorted(self.bounds, by, "right") == r[end])], by[inside]
+            both = np.empty(len(end), pairs.logs[0].dtype)
+            both["of"], both["by"] = c[end], by
+            pairs.add(r[end], both)
+        edges = np.zeros(len(self.bounds), np.int64)
+        for lo, hi in blocks(len(self.seeds), t.size):
+            edges += np.searchsorted(t.text[self.seeds[lo:hi]] * self.sign, self.bounds, "left")
+        edges = [0, *edges.tolist(), len(self.seeds)]
+        for r in range(n_ranges):
+            low, high = (int(self.bounds[r - 1]) if r else None), (int(self.bounds[r]) if r < n_ranges - 1 else None)
+            if low is not None and high == low + 1:
+                self._one_symbol(r, low, edges[r], edges[r + 1])
+            else:
+                self._range(r, high, symbols.logs[r].all(), pairs.logs[r].all(), edges[r], edges[r + 1])
+            for logs in (symbols, pairs, self.waiting):
+                logs.logs[r].drop()
+        return self.out_p.all(), self.out_l.all()
+
+    def _range(self, r: int, high: int | None, symbols: np.ndarray, pairs: np.ndarray, s: int, s_end: int) -> None:
+        """Lay out a range's tuples and seeds by symbol and take them group by group."""
+        t = self.t
+        own = np.asarray(self.seeds[s:s_end])
+        own_c = t.text[own] * self.sign
+        c, count = np.unique(np.concatenate([symbols, own_c]), return_counts=True)
+        if not len(c):
+            return
+        first = np.concatenate([[0], np.cumsum(count)])
+        seeded = np.searchsorted(c, own_c)
+        n_seeds = np.bincount(seeded, minlength=len(c))
+        slots = np.zeros(first[-1], _TUPLE)
+        place, arrival, run = (np.ascontiguousarray(slots[f]) for f in _TUPLE.names)
+        del slots
+        seed = np.zeros(first[-1], bool)
+        given = np.zeros(first[-1], np.uint8)
+        rank = np.arange(len(own)) - np.repeat(np.cumsum(n_seeds) - n_seeds, n_seeds)
+        at = first[1:][seeded] - n_seeds[seeded] + rank
+        place[at], seed[at] = own, True
+        if self.cap:
+            given[at] = self.seed_lcp[s:s_end]
+        free = first[:-1].copy()
+
+        def put(tuples: np.ndarray, symbol: np.ndarray) -> None:
+            u = np.searchsorted(c, symbol)
+            if len(u) > 1 and (u[1:] < u[:-1]).any():
+                by = np.argsort(u, kind="stable")
+                u, tuples = u[by], tuples[by]
+            edge = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+            size = np.diff(np.append(edge, len(u)))
+            to = free[u] + np.arange(len(u)) - np.repeat(edge, size)
+            free[u[edge]] += size
+            place[to], arrival[to], run[to] = tuples["place"], tuples["arrival"], tuples["run"]
+
+        rows = self.waiting.logs[r].all()
+        for lo, hi in blocks(len(rows), t.size):
+            put(rows[lo:hi], t.text[rows["place"][lo:hi]] * self.sign)
+        least = np.full(len(c), -1)
+        np.maximum.at(least, np.searchsorted(c, pairs["of"]), np.searchsorted(c, pairs["by"]))
+        begin, starts = 0, [0]
+        for i, by in enumerate(least.tolist()):
+            if by >= begin and i:
+                starts.append(begin := i)
+        symbol = np.repeat(np.arange(len(c)), count)
+        for a, b in zip(starts, [*starts[1:], len(c)], strict=True):
+            x, y = int(first[a]), int(first[b])
+            p, w, k, d, g, u = place[x:y], arrival[x:y], run[x:y], seed[x:y], given[x:y], symbol[x:y]
+            if k.any():
+                by = np.lexsort((np.where(d, 0, k), u * 2 + d))
+                p, w, k = p[by], w[by], k[by]
+            self._take(p, w, k, d, g, u, high, put, r)
+
+    def _one_symbol(self, r: int, symbol: int, s: int, s_end: int) -> None:
+        """A frequent symbol, in parts: suffixes that a smaller one follows, those in runs, then seeds."""
+        t, rows = self.t, self.waiting.logs[r].all()
+        runs = []
+        zero = lambda n, kind=np.int64: np.zeros(n, kind)
+
+        def take(x: np.ndarray) -> None:
+            for lo, hi in blocks(len(x), t.size):
+                y = x[lo:hi]
+                self._take(y["place"], y["arrival"], y["run"], zero(len(y), bool), zero(len(y), np.uint8), zero(len(y)), symbol + 1, None, r)
+
+        self.last = None
+        for lo, hi in blocks(len(rows), t.size):
+            x = rows[lo:hi]
+            runs.append(x[x["run"] > 0])
+            take(x[x["run"] == 0])
+        runs = np.concatenate(runs) if runs else rows
+        take(runs[np.argsort(runs["run"], kind="stable")])
+        for lo, hi in blocks(s_end - s, t.size):
+            own = np.asarray(self.seeds[s + lo : s + hi])
+            given = np.asarray(self.seed_lcp[s + lo : s + hi]) if self.cap else zero(len(own), np.uint8)
+            self._take(own, zero(len(own)), zero(len(own)), np.ones(len(own), bool), given, zero(len(own)), symbol + 1, None, r)
+        self.last = None
+
+    def _take(self, p: np.ndarray, w: np.ndarray, k: np.ndarray, d: np.ndarray, g: np.ndarray, u: np.ndarray, high: int | None, put: object, r: int) -> None:
+        """The next suffixes in order: places, arrivals, runs, whether seeds, given prefixes and symbols. None induces another."""
+        n, t = len(p), self.t
+        if not n:
+            return
+        if self.cap:
+            if self.last is None:
+                p0, w0, k0, d0, same = p[:1], w[:1], k[:1], d[:1], False
             else:
-                buckets[c] = got
-            ps, ls = got
-            k = 0
-            seeding = False
-            while True:
-                if not seeding:
-                    if k < len(ps):
-                        p, l = ps[k], ls[k]
-                        k += 1
-                        put_p(p)
-                        put_l(l)
-                    else:
-                        seeding = True
-                        before = p
-                        continue
+                (p0, w0, k0, d0), same = self.last, True
+            before_w, before_k, before_d = np.append(w0, w[:-1]), np.append(k0, k[:-1]), np.append(d0, d[:-1])
+            goes_on = np.append(same, u[1:] == u[:-1])
+            lcp = np.where(goes_on & d & before_d, g, 0).astype(np.int64)
+            turn = np.flatnonzero(goes_on & d & ~before_d)
+            lcp[turn] = np.minimum(before_k[turn], t.right[p[turn]]) + 1
+            plain = goes_on & ~d
+            apart = np.flatnonzero(plain & (k != before_k))
+            lcp[apart] = np.minimum(k[apart], before_k[apart]) + 1
+            both = np.flatnonzero(plain & (k == before_k))
+            if len(both):
+                lcp[both] = k[both] + 1 + self.minima.least(before_w[both] + 1, w[both])
+            lcp = np.minimum(lcp, self.cap).astype(np.uint8)
+            self.minima.add(lcp)
+            if put is None:  # a symbol in parts
+                self.last = (p[-1:].copy(), w[-1:].copy(), k[-1:].copy(), d[-1:].copy())
+        else:
+            lcp = np.zeros(n, np.uint8)
+        if self.with_seeds:
+            self.out_p.add(p)
+            self.out_l.add(lcp)
+        elif d.any():
+            self.out_p.add(p[~d])
+            self.out_l.add(lcp[~d])
+        else:
+            self.out_p.add(p)
+            self.out_l.add(lcp)
+        q = p - 1
+        ok = np.flatnonzero((q >= 0) & (t.kind[q] == self.want))
+        if len(ok):
+            q = q[ok]
+            c = t.text[q]
+            new = c != t.text[p[ok]]
+            ok, q, c = ok[new], q[new], c[new] * self.sign
+        if len(ok):
+            size = t.left[q]
+            if len(q) < (total := int(size.sum())):
+                run = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+                ok, q, c = np.repeat(ok, size), np.repeat(q, size) - run, np.repeat(c, size)
+            else:
+                run = 0
+            tuples = np.empty(len(q), _TUPLE)
+            tuples["place"], tuples["arrival"], tuples["run"] = q, ok + self.order, run
+            if high is not None:
+                far = c >= high
+                if far.all():
+                    here = None
                 else:
-                    if at >= n_own or own_c[at] != c:
-                        break
-                    p = own[at]
-                    if cap:
-                        if before >= 0:  # between the last induced and the first seed
-                            l = 0
-                            while l < cap and T[before + l] == T[p + l]:
-                                l += 1
-                        else:
-                            l = own_l[at] if at and own_c[at - 1] == c else 0
-                    else:
-                        l = 0
-                    before = -1
-                    at += 1
-                    if with_seeds:
-                        put_p(p)
-                        put_l(l)
-                if cap:
-                    while top_v and top_v[-1] >= l:
-                        top_v.pop()
-                        top_o.pop()
-                    top_v.append(l)
-                    top_o.append(order)
-                    scan.append(l)
-                if p:
-                    q = p - 1
-                    if K[q] == want:
-                        d = T[q] * sign
-                        if upper is None or d < upper:
-                            if d not in queued:
-                                queued.add(d)
-                                heapq.heappush(heap, d)
-                            b = buckets.get(d)
-                            if b is None:
-                                b = buckets[d] = ([], [])
-                            b[0].append(q)
-                            if cap and d in last:
-                                v = top_v[bisect_right(top_o, last[d])] + 1
-                                b[1].append(v if v < cap else cap)
-                            else:
-                                b[1].append(0)
-                            last[d] = order
-                        else:
-                            w = waiting[bisect_right(bounds, d)]
-                            w[0].now.append(q)
-                            w[1].now.append(order)
-                            held += 1
-                            if held >= o.buffer:
-                                for x, y in waiting[r + 1 :]:
-                                    x.flush()
-                                    y.flush()
-                                held = 0
-                order += 1
-            del buckets[c]
-        if cap:
-            minima.add(np.frombuffer(bytes(scan), np.uint8))
-            order = began + -(-len(scan) // _BLOCK) * _BLOCK
-        if ranges > 1:
-            out_p.flush()
-            out_l.flush()
-    return out_p.all(), out_l.all()
-
-
-def _bounds(text: np.ndarray, sign: int, size: int) -> list[int]:
-    """Symbols that part the suffixes into ranges of about ``size``, from a regular sample."""
-    n = -(-len(text) // size)
-    if n < 2:
-        return []
-    some = np.sort(text[:: max(1, len(text) // 100_000)] * sign)
-    return np.unique(some[np.arange(1, n) * len(some) // n]).tolist()
+                    here, tuples, c = (tuples[~far], c[~far]), tuples[far], c[far]
+                if len(c):
+                    self.waiting.add(np.searchsorted(self.bounds, c, "right"), tuples)
+            else:
+                here = (tuples, c)
+            if here is not None and len(here[1]):
+                put(*here)
+        self.order += n
 
 
 def suffix_order(text: np.ndarray, scratch: Scratch, options: SortOptions | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all suffixes but the last, largest suffix first, and the common
-    prefix of each with the one listed before it, up to the cap.
+    prefix of each with the one listed before it, up to the cap; both mapped files.
 
     ``text`` are signed 64-bit symbols; the last is the least and occurs once.
     """
@@ -338,60 +440,98 @@ def suffix_order(text: np.ndarray, scratch: Scratch, options: SortOptions | None
     n = len(text)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    kind = _types(text, scratch)
-    stars = np.flatnonzero(np.asarray(kind[1:]) & (np.asarray(kind[:-1]) ^ 1)) + 1
-    up, down = _bounds(text, 1, o.range_size), _bounds(text, -1, o.range_size)
-    if len(stars) > 1:
+    t = _Text(text, scratch, o)
+    found = Log(scratch, np.int64, t.size)
+    for lo, hi in blocks(n, t.size):
+        at = np.arange(lo, hi)
+        found.add(at[t.stars(at)])
+    stars = found.all()
+    m = len(stars)
+    lcp = scratch.empty(m, np.uint8)
+    if m > 1:
         # stretches from star to star in order: two sweeps from stars in order of their symbol only
-        rough = stars[np.argsort(text[stars], kind="stable")]
-        larger, _ = _sweep(text, kind, 0, rough, None, up, 1, o, scratch, False)
-        smaller, _ = _sweep(text, kind, 1, np.asarray(larger)[::-1], None, down, -1, o, scratch, False)
-        smaller = np.asarray(smaller)[::-1]
-        star = np.zeros(n, bool)
-        star[stars] = True
-        ranked = np.append(stars[-1:], smaller[star[smaller]])
-        name = _names(text, kind, stars, ranked)
-        if name.max() + 1 < len(stars):
-            order, common = suffix_order(scratch.keep(name), scratch, o)
-            order, common = np.append(np.asarray(order), len(stars) - 1)[::-1], np.append(np.asarray(common), np.uint8(0))[::-1]
-            common = np.append(np.uint8(0), common[:-1]).astype(np.int64)
+        larger, _ = _Sweep(t, 0, _by_symbol(t, stars, scratch, o), None, 1, o, scratch, False).run()
+        smaller, _ = _Sweep(t, 1, larger[::-1], None, -1, o, scratch, False).run()
+        name, names = _names(t, stars, smaller[::-1], scratch)
+        order = scratch.empty(m, np.int64)
+        seeds = scratch.empty(m, np.int64)
+        if names < m:
+            falling, common = suffix_order(name, scratch, o)
+            order[0] = m - 1
+            for lo, hi in blocks(m - 1, t.size):
+                order[1 + lo : 1 + hi] = falling[::-1][lo:hi]
         else:
-            order, common = np.argsort(name), np.zeros(len(stars), np.int64)
-        # as many stretches as agree are as many symbols as they cover
-        after = np.minimum(order + common, len(stars) - 1)
-        known = stars[after] - stars[order]
-        seeds = stars[order]
-        lcp = np.append(0, _common(text, seeds[1:], seeds[:-1], known[1:], o.cap))
+            common = None
+            for lo, hi in blocks(m, t.size):
+                order[name[lo:hi]] = np.arange(lo, hi)
+        for lo, hi in blocks(m, t.size):
+            own = order[lo:hi]
+            seeds[lo:hi] = stars[own]
+            before = np.append(seeds[max(0, lo - 1)], seeds[lo : hi - 1])
+            share = np.zeros(hi - lo, np.int64)
+            if common is not None and m > 2:
+                later = np.arange(max(2, lo), max(2, hi))
+                share[later - lo] = common[m - later]
+            # as many stretches as agree are as many symbols as they cover
+            known = stars[np.minimum(own + share, m - 1)] - seeds[lo:hi]
+            lcp[lo:hi] = _common(text, seeds[lo:hi], before, known, o.cap)
+        lcp[0] = 0
     else:
-        seeds, lcp = stars, np.zeros(len(stars), np.int64)
-    larger, l_lcp = _sweep(text, kind, 0, scratch.keep(seeds), lcp, up, 1, o, scratch, False)
-    larger, l_lcp = np.asarray(larger)[::-1], np.asarray(l_lcp)[::-1]
-    l_lcp = np.append(np.uint8(0), l_lcp[:-1])  # now with the one before in falling order
-    return _sweep(text, kind, 1, larger, l_lcp, down, -1, o, scratch, True)
-
-
-def _names(text: np.ndarray, kind: np.ndarray, stars: np.ndarray, ranked: np.ndarray) -> np.ndarray:
-    """Ranks of the stretches from each star to the next, equal for equal ones, by place in the text."""
-    end = np.append(stars[1:], stars[-1])
-    index = np.zeros(len(text), np.int64)
-    index[stars] = np.arange(len(stars))
-    i = index[ranked]
-    size = end[i] - stars[i]
-    new = np.ones(len(i), bool)
-    same = np.flatnonzero(size[1:] == size[:-1]) + 1
-    a, b = stars[i[same]], stars[i[same - 1]]
-    alive = np.arange(len(same))
-    left = size[same].copy()
-    step = 0
-    while len(alive):  # equal up to and with the next star
-        ok = text[a[alive] + step] == text[b[alive] + step]
-        alive = alive[ok]
-        done = left[alive] == step
-        new[same[alive[done]]] = False
-        alive = alive[~done]
-        step += 1
-    new[0] = True
-    rank = np.cumsum(new) - 1
-    out = np.empty(len(stars), np.int64)
-    out[i] = rank
+        seeds = stars
+    larger, l_lcp = _Sweep(t, 0, seeds, lcp, 1, o, scratch, False).run()
+    falling_lcp = scratch.empty(len(larger), np.uint8)  # with the one before in falling order
+    for lo, hi in blocks(len(larger) - 1, t.size):
+        falling_lcp[1 + lo : 1 + hi] = l_lcp[::-1][lo:hi]
+    return _Sweep(t, 1, larger[::-1], falling_lcp, -1, o, scratch, True).run()
+
+
+def _by_symbol(t: _Text, stars: np.ndarray, scratch: Scratch, o: SortOptions) -> np.ndarray:
+    """The stars in the order of their symbols, range by range."""
+    bounds = _bounds(t.text, 1, o.range_size)
+    parts = _Ranges(scratch, np.int64, len(bounds) + 1, t.size)
+    for lo, hi in blocks(len(stars), t.size):
+        own = stars[lo:hi]
+        parts.add(np.searchsorted(bounds, t.text[own], "right"), own)
+    out, at = scratch.empty(len(stars), np.int64), 0
+    for r, log in enumerate(parts.logs):
+        own = log.all()
+        if not (0 < r < len(bounds) and bounds[r] == bounds[r - 1] + 1):
+            own = own[np.argsort(t.text[own], kind="stable")]
+        for lo, hi in blocks(len(own), t.size):
+            out[at + lo : at + hi] = own[lo:hi]
+        at += len(own)
+        log.drop()
     return out
+
+
+def _names(t: _Text, stars: np.ndarray, sorted_s: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """Ranks of the stretches from each star to the next, equal for equal ones, by place in the text, and how many there are.
+
+    ``sorted_s``: all S suffixes but the last, sorted by their stretches.
+    """
+    m = len(stars)
+    nth, out = scratch.empty(t.n, np.int64), scratch.empty(m, np.int64)
+    for lo, hi in blocks(m, t.size):
+        nth[stars[lo:hi]] = np.arange(lo, hi)
+    rank, before = 0, m - 1  # the last star is the least, by itself
+    for lo, hi in blocks(len(sorted_s), t.size):
+        own = sorted_s[lo:hi]
+        own = nth[own[t.stars(own)]]
+        if not len(own):
+            continue
+        prev = np.append(before, own[:-1])
+        a, b = stars[own], stars[prev]
+        size = stars[np.minimum(own + 1, m - 1)] - a
+        new = np.ones(len(own), bool)
+        alive = np.flatnonzero(size == stars[np.minimum(prev + 1, m - 1)] - b)
+        step = 0
+        while len(alive):  # equal up to and with the next star
+            alive = alive[t.text[a[alive] + step] == t.text[b[alive] + step]]
+            done = size[alive] == step
+            new[alive[done]] = False
+            alive = alive[~done]
+            step += 1
+        ranks = rank + np.cumsum(new)
+        out[own] = ranks
+        rank, before = int(ranks[-1]), int(own[-1])
+    return out, rank + 1

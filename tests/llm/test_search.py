@@ -1,5 +1,6 @@
 """Searches against brute force: near copies, benchmark items, repeated passages, suffix order."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -247,6 +248,43 @@ def test_suffix_order_equals_sorting(seed, n, letters, range_size, buffer):
     assert lcp[1:].tolist() == [common(a, b) for a, b in zip(want, want[1:], strict=False)]
 
 
+MEMORY = """
+import re, sys, tempfile, threading, time
+import numpy as np
+from mirrorlake.llm import repeats
+from mirrorlake.llm.suffixes import Scratch, SortOptions
+def anonymous():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read()).group(1))
+pieces, r, seen, done = int(sys.argv[1]), np.random.default_rng(1), [], []
+def watch():
+    while not done:
+        seen.append(anonymous())
+        time.sleep(0.02)
+with tempfile.TemporaryDirectory() as root, Scratch(root) as scratch:
+    shard = repeats._Shard(scratch, repeats.RepeatOptions(sort=SortOptions(50, 40_000, 40_000)))
+    threading.Thread(target=watch).start()
+    passage = r.integers(1, 2**62, 60)
+    for i in range(pieces):
+        shard.add(i, i, 0, np.concatenate([r.integers(1, 2**62, 100), passage, r.integers(1, 50, 40)]).tobytes())
+    n = sum(len(x[0]) for x in shard.repeats())
+    done.append(1)
+    print(n, max(seen))
+"""
+
+
+def test_memory_does_not_grow_with_the_shard():
+    """The same passage in 1,000 and in 4,000 pieces of 200 words, at the same options."""
+    import subprocess
+    import sys
+
+    took = {}
+    for pieces in (1000, 4000):
+        out = subprocess.run([sys.executable, "-c", MEMORY, str(pieces)], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout.split()
+        assert int(out[0]) == pieces
+        took[pieces] = int(out[1])
+    assert took[4000] < 1.2 * took[1000]
+
+
 def brute_repeats(texts, size):
     seen = defaultdict(set)
     w = {d: words(t) for d, t in texts.items()}
@@ -256,8 +294,8 @@ def brute_repeats(texts, size):
     return {(d, j) for d, own in w.items() for i in range(len(own) - size + 1) if len(seen[tuple(own[i : i + size])]) > 1 for j in range(i, i + size)}
 
 
-@pytest.mark.parametrize("shard_words, range_size", [(400_000, 1_000_000), (2_000, 300)])
-def test_repeats_equal_brute_force(spark, shard_words, range_size, tmp_path):
+@pytest.mark.parametrize("shard_words, range_size, label_words", [(400_000, 1_000_000, 4_000_000), (2_000, 300, 4_000_000), (2_000, 300, 1_500)])
+def test_repeats_equal_brute_force(spark, shard_words, range_size, label_words, tmp_path):
     r = random.Random(6)
     passages = [prose(r, n) for n in (49, 50, 51, 80, 300)]
     texts = {}
@@ -270,7 +308,8 @@ def test_repeats_equal_brute_force(spark, shard_words, range_size, tmp_path):
     texts[61] = texts[0]
     texts[62] = " ".join(["again"] * 120)
     texts[63] = " ".join(["again"] * 75)
-    o = repeats.RepeatOptions(shard_words=shard_words, scratch=str(tmp_path), sort=SortOptions(50, range_size, 100))
+    texts |= {100 + i: texts[0] for i in range(20)}
+    o = repeats.RepeatOptions(shard_words=shard_words, label_words=label_words, scratch=str(tmp_path), sort=SortOptions(50, range_size, 100))
     got = repeats.repeated_passages(frame(spark, texts.items()), o).collect()
     covered = {(x.doc_id, j) for x in got for j in range(x.first_word, x.first_word + x.n_words)}
     assert covered == brute_repeats(texts, 50)
