@@ -5,10 +5,15 @@ image, audio or document. A visitor has one method for each type; it builds the
 column expressions that flatten a part to text or to a numbered placeholder and
 that count the tokens it expands to. Everything stays in the JVM, and a
 conversation is put together by one shuffle on its id.
+
+Text can't forge turns or placeholders: a backslash goes after the first character
+of any mark that stands in a text or role. As texts with such backslashes get one
+more, taking one away gives back what was written.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,9 +48,17 @@ class PartVisitor:
     def attachment(self, kind: str, n: Column) -> Column:
         return F.concat(F.lit(f"<{kind}_"), n.cast("string"), F.lit(">"))
 
+    def guarded(self, text: Column, *more: str) -> Column:
+        """``text`` with a backslash inside whatever looks like a mark."""
+        marks = [self.o.open_turn, self.o.close_turn, *(f"<{k}_" for k in ATTACHED), *more]
+        for first in dict.fromkeys(m[0] for m in marks if len(m) > 1):
+            rest = "|".join(dict.fromkeys(re.escape(m[1:]) for m in marks if m[0] == first and len(m) > 1))
+            text = F.regexp_replace(text, rf"{re.escape(first)}(\\*(?:{rest}))", re.sub(r"([\\$])", r"\\\1", first) + r"\\$1")
+        return text
+
     def text(self, part: Column, n: Column) -> tuple[Column, Column]:
         text = F.coalesce(part["text"], F.lit(""))
-        return text, self.text_tokens(text)
+        return self.guarded(text), self.text_tokens(text)
 
     def text_tokens(self, text: Column) -> Column:
         return F.floor((F.octet_length(text) + self.o.bytes_per_token - 1) / self.o.bytes_per_token).cast("long")
@@ -88,7 +101,8 @@ def format_chats(turns: DataFrame, options: ChatOptions | None = None) -> DataFr
     rows are all kept. Attachments are numbered from 0 through a conversation and
     recorded as {n, kind, ref, tokens}. A null role is "unknown", a null text
     empty; rows without a conv_id are left out. ``n_tokens`` counts the text and
-    what attachments expand to, without the turn marks. No rows give no rows.
+    what attachments expand to, without the turn marks and the backslashes that
+    guard against forged ones. No rows give no rows.
     """
     o = options or ChatOptions()
     visitor = PartVisitor(o)
@@ -100,7 +114,7 @@ def format_chats(turns: DataFrame, options: ChatOptions | None = None) -> DataFr
     upto = lambda i: F.col("before") + F.size(F.filter(F.slice("parts", F.lit(1), i), lambda p: p["type"].isin(*ATTACHED)))
     seen = F.transform("parts", lambda p, i: F.struct(p["type"].alias("kind"), p["url"].alias("ref"), upto(i).cast("long").alias("n"), visitor.visit(p, upto(i)).alias("v")))
     told = told.withColumn("seen", seen)
-    message = F.concat(F.lit(o.open_turn), "role", F.lit(o.close_role), F.array_join(F.transform("seen", lambda s: s["v"]["shown"]), ""), F.lit(o.close_turn))
+    message = F.concat(F.lit(o.open_turn), visitor.guarded(F.col("role"), o.close_role.rstrip()), F.lit(o.close_role), F.array_join(F.transform("seen", lambda s: s["v"]["shown"]), ""), F.lit(o.close_turn))
     kept = F.transform(F.filter("seen", lambda s: s["kind"].isin(*ATTACHED)), lambda s: F.struct(s["n"].alias("n"), s["kind"].alias("kind"), s["ref"].alias("ref"), s["v"]["tokens"].alias("tokens")))
     tokens = F.aggregate("seen", F.lit(0).cast("long"), lambda a, s: a + s["v"]["tokens"])
     rows = told.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", message.alias("message"), kept.alias("kept")))).alias("m"), F.count("*").alias("n_messages"), F.sum(tokens).alias("n_tokens"))
@@ -109,9 +123,10 @@ def format_chats(turns: DataFrame, options: ChatOptions | None = None) -> DataFr
 
 
 #: The same for conversations of plain text, which is all that the test tables have.
-SQL = """
+SQL = r"""
 SELECT conv_id,
-       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), ''
+       string_agg('<|' || regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*(?:\||image_|audio_|document_))', '<\\\1', 'g'), '\|(\\*>)', '|\\\1', 'g')
+                  || '|>' || chr(10) || regexp_replace(coalesce(text, ''), '<(\\*(?:\||image_|audio_|document_))', '<\\\1', 'g') || '<|end|>' || chr(10), ''
                   ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), text NULLS FIRST) AS formatted,
        CAST(count(*) AS BIGINT) AS n_messages,
        CAST(0 AS BIGINT) AS n_attachments,

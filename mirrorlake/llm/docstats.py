@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from mirrorlake.llm import text as T
+from mirrorlake.operators.lineage import cut, small
 
 FEATURES = ("log_words", "word_bytes", "upper_share", "digit_share", "symbol_share", "space_share", "high_share", "line_repeats", "gram_repeats", "log_line_words", "mark_words", "bare_words")
 
@@ -80,11 +81,12 @@ def matrix(texts: pa.Array) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int) -> DataFrame:
     """(doc_id, text, *columns) of at most ``rows`` labelled documents, chosen by a hash of the id.
 
-    Labels with a null are left out; of several rows for an id the largest count.
+    Labels whose first column is null are left out, others may be null; of several
+    rows for an id the largest count.
     """
-    some = labels.select("doc_id", *columns).dropna().groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in columns))
+    some = labels.select("doc_id", *columns).dropna(subset=["doc_id", columns[0]]).groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in columns))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").dropna().join(F.broadcast(some), "doc_id")
+    return docs.select("doc_id", "text").dropna().join(small(cut(some)), "doc_id")
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> tuple[np.ndarray, np.ndarray]:

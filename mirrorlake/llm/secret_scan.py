@@ -39,16 +39,23 @@ _COMMON = "the of and to in is that for it with as was on are by this from at or
 
 @dataclass(frozen=True)
 class SecretOptions:
-    """``sample_rows`` bounds the labelled documents whose words train the identifier model.
-
-    Tokens of ``least_length`` need a mean ratio of ``threshold``; stretches within
-    tokens also a sum of ``least_total``, and end where it falls by ``drop``.
+    """``sample_rows`` bounds the labelled documents whose words train the identifier model,
+    ``words`` those words, the most frequent of ``word_letters`` letters, and the strings made for each model.
+
+    Tokens of ``least_length`` need a mean ratio of ``threshold``; stretches of any length,
+    of shorter tokens and within longer ones, need a sum of ``least_total`` too, and end
+    where it falls by ``drop``; and ``least_stretch`` characters, as shorter ones, such as
+    the first seven of a commit's hash, are names and not secrets. So a secret is missed
+    where it is shorter or its characters don't add up to ``least_total``, as random
+    letters and digits of that length mostly do.
     """
 
     sample_rows: int = 2_000
     words: int = 20_000
+    word_letters: tuple[int, int] = (2, 40)
     least_length: int = 16
     threshold: float = 0.35
+    least_stretch: int = 8
     least_total: float = 16.0
     drop: float = 10.0
     smoothing: float = 0.3
@@ -121,7 +128,7 @@ def _rises(v: list[float], o: SecretOptions) -> Iterator[tuple[int, int, float]]
         if total > best:
             best, stop = total, i + 1
         elif total <= 0 or best - total >= o.drop:
-            if best >= o.least_total and best >= o.threshold * (stop - begin):
+            if stop - begin >= o.least_stretch and best >= o.least_total and best >= o.threshold * (stop - begin):
                 yield begin, stop, best
             begin, total, best = i + 1, 0.0, 0.0
 
@@ -218,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame | None, o: SecretOptions) -> Markov
         return fit([], o)
     some = labelled(docs, labels, ["quality"], o.sample_rows)
     word = F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")
-    counted = some.select(word).filter("length(word) between 2 and 40").groupBy("word").count()
+    counted = some.select(word).filter(F.length("word").between(*o.word_letters)).groupBy("word").count()
     return fit([r.word for r in counted.orderBy(F.desc("count"), "word").limit(o.words).collect()], o)
 
 
@@ -236,7 +243,9 @@ def secrets(docs: DataFrame, labels: DataFrame | None, options: SecretOptions |
     """(doc_id, start, end, score, preview) of each secret, ``start`` and ``end`` in characters.
 
     Whole texts are read; null and empty ones have none. Each occurrence has a row,
-    also where documents or rows repeat. ``preview`` shows four characters.
+    also where documents or rows repeat; rows without an id keep a null id. Ids are
+    whole numbers. ``preview`` shows four characters. Numbers that only name things but
+    are random, such as UUIDs and hashes of commits, look like keys and count as such.
     """
     o = options or SecretOptions()
     model = train(docs, labels, o)
@@ -264,7 +273,7 @@ def secrets(docs: DataFrame, labels: DataFrame | None, options: SecretOptions |
 def redact(docs: DataFrame, labels: DataFrame | None, options: SecretOptions | None = None) -> DataFrame:
     """``docs`` with each secret replaced by the mask, and ``n_chars``, if there, counted again.
 
-    All rows stay, and all else in them; null texts stay null.
+    All rows stay, without an id too, and all else in them; null texts stay null.
     """
     o = options or SecretOptions()
     model = train(docs, labels, o)

@@ -6,13 +6,14 @@ the probabilities of the categories before it. To train it, those probabilities
 come from models that had not seen the document (folds), so that later models
 learn how far earlier ones can be trusted.
 
-Only "toxic" is labelled by hand. "severe" is a toxic document with
-``severe_words`` or more of the words that go with toxicity, and "hostile_junk"
-one that is also labelled as of low quality. The vocabulary is learned: the words
-and beginnings of words of the labelled sample with the largest chi-squared
-statistic, beginnings both as seen and as seen several times, for languages that
-inflect and compound. Near copies count once there, else the words of a toxic
-document that was copied would seem toxic.
+The labels are "toxic" and the quality of a document: the chain predicts "toxic", then
+"low_quality", then "hostile_junk", which is both. A document whose quality is not
+labelled takes part in the first only. The vocabulary is learned: the words and
+beginnings of words of the labelled sample with the largest chi-squared statistic,
+beginnings both as seen and as seen several times, for languages that inflect and
+compound. The models that predict for a fold have a vocabulary of their own, from the
+other folds. Near copies count once there, else the words of a toxic document that was
+copied would seem toxic.
 """
 
 from __future__ import annotations
@@ -29,18 +30,21 @@ from mirrorlake.llm import text as T
 from mirrorlake.llm.docstats import labelled
 from mirrorlake.operators.lineage import cut
 
-CATEGORIES = ("toxic", "severe", "hostile_junk")
+CATEGORIES = ("toxic", "low_quality", "hostile_junk")
 
 
 @dataclass(frozen=True)
 class ToxicityOptions:
-    """``sample_rows`` bounds the labelled documents that the chain is fitted to."""
+    """``sample_rows`` bounds the labelled documents that the chain is fitted to.
+
+    ``vocabulary`` bounds its features: the best of those that ``least_documents`` of the
+    sample have and whose chi-squared statistic reaches ``least_chi2``.
+    """
 
     sample_rows: int = 20_000
     vocabulary: int = 300
     least_documents: int = 4
     least_chi2: float = 16.0
-    severe_words: int = 3
     folds: int = 5
     ridge: float = 0.1
     threshold: float = 0.5
@@ -123,19 +127,26 @@ class Chain:
 _SILENT = Chain(np.zeros(0, np.uint64), [np.array([-30.0]), np.array([0.0, -30.0]), np.array([0.0, 0.0, -30.0])])
 
 
-def fit(x: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, o: ToxicityOptions) -> Chain:
-    """A chain from presence [document, word] and labels [document, category]."""
-    fold = np.arange(len(x)) % o.folds
-    weights = []
+def fit(x: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, o: ToxicityOptions, fold: np.ndarray | None = None, own: list[np.ndarray] | None = None) -> Chain:
+    """A chain from presence [document, word] and labels [document, category], nan where unknown.
+
+    ``own``: columns of the model and then of those of each fold; all by default.
+    """
+    fold = np.arange(len(x)) % o.folds if fold is None else fold
+    own = own or [np.arange(x.shape[1])] * (o.folds + 1)
+    weights, before = [], np.zeros((len(x), 0))
     for c in range(labels.shape[1]):
         y = labels[:, c]
-        weights.append(_logistic(x, y, o.ridge))
+        known = ~np.isnan(y)
+        seen = lambda k, rows: np.column_stack([x[rows][:, own[k]], before[rows]])  # noqa: B023, E731
+        weights.append(_logistic(seen(0, known), y[known], o.ridge))
         unseen = np.zeros(len(x))
         for k in range(o.folds):
+            rest = known & (fold != k)
             if (fold == k).any():
-                unseen[fold == k] = _apply(x[fold == k], _logistic(x[fold != k], y[fold != k], o.ridge))
-        x = np.column_stack([x, unseen])
-    return Chain(vocabulary, weights)
+                unseen[fold == k] = _apply(seen(k + 1, fold == k), _logistic(seen(k + 1, rest), y[rest], o.ridge))
+        before = np.column_stack([before, unseen])
+    return Chain(vocabulary[own[0]], weights)
 
 
 def _bags(docs: DataFrame, labels: DataFrame, o: ToxicityOptions) -> DataFrame:
@@ -164,7 +175,7 @@ def _bags(docs: DataFrame, labels: DataFrame, o: ToxicityOptions) -> DataFrame:
                 rest = [b.column(c).slice(lo, hi - lo) for c in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([T.as_signed(x) for x in bags], pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "toxic", "bad", "words", "sketch"])
 
-    src = labelled(docs, labels, ["toxic", "quality"], o.sample_rows)
+    src = labelled(docs, labels, ["toxic", "quality"], o.sample_rows)  # quality may be null
     src = src.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.col("toxic").cast("double").alias("toxic"), (F.col("quality") <= 0).cast("double").alias("bad"))
     return src.mapInArrow(run, "doc_id long, toxic double, bad double, words array<long>, sketch array<long>")
 
@@ -191,30 +202,46 @@ def train(docs: DataFrame, labels: DataFrame, o: ToxicityOptions) -> Chain:
     n, pos = bags.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     if not 0 < pos < n:
         return _SILENT
-    each = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).filter(F.col("n") >= o.least_documents)
-    off = F.col("k") * (n - pos) - (F.col("n") - F.col("k")) * pos
-    chi = off * off * n / (F.col("n") * (n - F.col("n")) * pos * (n - pos) + 1e-9)
-    top = each.withColumn("chi", chi).filter(F.col("chi") >= o.least_chi2).orderBy(F.desc("chi"), "word").limit(o.vocabulary).toPandas()
-    if top.empty:
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(o.folds)).cast("int")
+    bags = cut(bags.withColumn("fold", fold))
+    word = bags.select("toxic", "fold", F.explode("words").alias("word"))
+    inside = [F.col("fold") == f for f in range(o.folds)]
+    sums = [x for f, w in enumerate(inside) for x in (F.count(F.when(w, 1)).alias(f"n{f}"), F.sum(F.when(w, F.col("toxic")).otherwise(0.0)).alias(f"k{f}"))]
+    each = cut(word.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"), *sums).filter(F.col("n") >= o.least_documents))
+    sizes = {r.fold: (r.n, r.k) for r in bags.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()}
+
+    def best(f: int) -> DataFrame:
+        """The vocabulary of the model, f being -1, or of the one that predicts for fold f."""
+        out = sizes.get(f, (0, 0.0))
+        all_, toxic = n - out[0], pos - out[1]
+        m, k = (F.col("n") - F.col(f"n{f}"), F.col("k") - F.col(f"k{f}")) if f >= 0 else (F.col("n"), F.col("k"))
+        off = k * (all_ - toxic) - (m - k) * toxic
+        chi = off * off * all_ / (m * (all_ - m) * toxic * (all_ - toxic) + 1e-9)
+        return each.select("word", chi.alias("chi"), m.alias("m")).filter((F.col("m") >= o.least_documents) & (F.col("chi") >= o.least_chi2)).orderBy(F.desc("chi"), "word").limit(o.vocabulary).select("word", F.lit(f).alias("f"))
+
+    top = best(-1)
+    for f in range(o.folds):
+        top = top.unionByName(best(f))
+    top = top.toPandas()
+    if not (top["f"] == -1).any():
         return _SILENT
-    vocabulary = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
-    top = top.assign(odds=np.log((top.k + 0.5) / (pos - top.k + 0.5)) - np.log((top.n - top.k + 0.5) / (n - pos - top.n + top.k + 0.5)))
-    marked = np.isin(vocabulary, top.loc[top.odds > 3, "word"].to_numpy(np.int64).view(np.uint64)) & (vocabulary & _BEGINS == 0)
+    vocabulary = np.unique(top["word"].to_numpy(np.int64).view(np.uint64))
+    own = [np.flatnonzero(np.isin(vocabulary, top.loc[top["f"] == f, "word"].to_numpy(np.int64).view(np.uint64))) for f in range(-1, o.folds)]
     wanted = F.array_intersect("words", F.array(*(F.lit(int(w)) for w in vocabulary.view(np.int64))))
-    rows = bags.select("doc_id", "toxic", "bad", wanted.alias("words")).toPandas().sort_values("doc_id", kind="stable")
+    rows = bags.select("doc_id", "toxic", "bad", "fold", wanted.alias("words")).toPandas().sort_values("doc_id", kind="stable")
     x = np.zeros((len(rows), len(vocabulary)))
     for i, w in enumerate(rows["words"]):
         x[i, np.searchsorted(vocabulary, np.asarray(w, np.int64).view(np.uint64))] = 1
-    toxic = (rows["toxic"].to_numpy(float) > 0).astype(float)
-    severe = toxic * (x[:, marked].sum(1) >= o.severe_words)
-    return fit(x, np.column_stack([toxic, severe, toxic * rows["bad"].to_numpy(float)]), vocabulary, o)
+    toxic, bad = (rows["toxic"].to_numpy(float) > 0).astype(float), rows["bad"].to_numpy(float)
+    return fit(x, np.column_stack([toxic, bad, toxic * bad]), vocabulary, o, rows["fold"].to_numpy(), own)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = None) -> DataFrame:
-    """(doc_id, toxic, severe, hostile_junk): probabilities for each row of ``docs``.
+    """(doc_id, toxic, low_quality, hostile_junk): probabilities for each row of ``docs``.
 
     Whole texts are read. A null or empty text has no words and gets the rate of
-    such texts; repeated rows get equal results. Other columns are ignored.
+    such texts; repeated rows get equal results, and rows without an id keep a null
+    id. Ids are whole numbers. Other columns are ignored.
     """
     o = options or ToxicityOptions()
     chain = train(docs, labels, o)

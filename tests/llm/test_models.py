@@ -93,6 +93,9 @@ def test_document_models_on_unlabelled_rows(spark):
     got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, known).collect()}
     assert np.mean([(got[i].toxic >= 0.5) == t for i, (_, t) in rest.items()]) > 0.95
     assert np.mean([(got[i].hostile_junk >= 0.5) == (t and not q) for i, (q, t) in rest.items()]) > 0.9
+    part = known.withColumn("quality", __import__("pyspark.sql.functions").sql.functions.expr("if(doc_id % 4 = 1, null, quality)"))
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, part).collect()}  # toxic labels count without a quality
+    assert np.mean([(got[i].toxic >= 0.5) == t for i, (_, t) in rest.items()]) > 0.95
     flagged = {r.doc_id for r in toxicity.toxic_documents(docs, known).collect()}
     assert flagged == {i for i, r in got.items() if r.toxic >= 0.5}
 
@@ -110,6 +113,35 @@ def test_chain_feeds_probabilities_forward():
     assert np.allclose(p[:, 1], toxicity._apply(np.column_stack([x, first]), chain.weights[1]))
 
 
+def test_chain_with_unknown_labels_and_folds_of_their_own():
+    """Out-of-fold predictions use the columns of their fold; rows of unknown label train nothing."""
+    r = np.random.default_rng(5)
+    x = (r.random((400, 3)) < 0.5).astype(float)
+    y = np.column_stack([x[:, 0], x[:, 0] * x[:, 1]])
+    fold = np.arange(400) % 5
+    y[:100, 1] = np.nan
+    every = np.arange(3)
+    chain = toxicity.fit(x, y, np.arange(3, dtype=np.uint64), toxicity.ToxicityOptions(), fold, [every] * 6)
+    assert ((chain.predict(x)[100:] >= 0.5) == (y[100:] == 1)).mean() > 0.97
+    blind = toxicity.fit(x, y, np.arange(3, dtype=np.uint64), toxicity.ToxicityOptions(), fold, [every] + [np.array([2])] * 5)
+    assert abs(blind.weights[1][3]) < abs(chain.weights[1][3])  # folds that don't see the word say nothing of use
+
+
+def test_secrets_that_only_name_things():
+    """UUIDs and hashes of commits can't be told from keys by their characters: most are taken for secrets."""
+    o = secret_scan.SecretOptions()
+    model = secret_scan.fit([], o)
+    r = random.Random(3)
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    share = {}
+    for name, made in {"uuid": lambda: "-".join(map(hexes, (8, 4, 4, 4, 12))), "commit": lambda: hexes(40), "short commit": lambda: hexes(7), "date": lambda: f"20{r.randrange(10, 30)}-0{r.randrange(1, 9)}-1{r.randrange(9)}T10:00", "path": lambda: "/".join(r.choices(secret_scan._COMMON, k=4))}.items():
+        raw, offs = T.buffers(__import__("pyarrow").array([f"see {made()} now" for _ in range(300)]))
+        found = np.searchsorted(offs, model.hits(raw, offs, o)[0], "right")
+        share[name] = len(set(found.tolist())) / 300
+    assert share["uuid"] > 0.9 and share["commit"] > 0.95
+    assert share["short commit"] < 0.05 and share["date"] < 0.02 and share["path"] < 0.02
+
+
 def test_secrets_hold_out():
     o = secret_scan.SecretOptions()
     model = secret_scan.fit(["wordy", "passage", "straße", "élan", "window"], o)
