@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import time
 from collections.abc import Sequence
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from mirrorlake.functions import paths
 from mirrorlake.operators import actions, folders, results, suggest
+from mirrorlake.operators.lineage import cut
 from mirrorlake.operators.store import Store
 from mirrorlake.options import ScanOptions
 from mirrorlake.plans import scan as scans
+from mirrorlake.sources import walker
 
 
 def _print(df: DataFrame) -> None:
@@ -25,6 +28,8 @@ def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="mirrorlake")
     top.add_argument("--store", default="mirrorlake-store", help="folder of the tables")
     top.add_argument("--root", action="append", default=[], help="folder that may be read and changed; may be repeated")
+    top.add_argument("--config", help="JSON file of options; made with the defaults if it isn't there")
+    top.add_argument("--shared", help="folder that all executors see, for what is kept between jobs; else spark.checkpoint.dir")
     sub = top.add_subparsers(dest="command", required=True)
     one = sub.add_parser("scan")
     one.add_argument("path")
@@ -40,6 +45,10 @@ def _parser() -> argparse.ArgumentParser:
         if name == "groups":
             for flag in ("kind", "q", "sort", "dir", "min-similarity", "min-size", "offset", "suggested-only"):
                 p.add_argument("--" + flag)
+        if name == "suggest":
+            p.add_argument("ids", type=int, nargs="*", help="groups; all without")
+            p.add_argument("--engine", choices=("auto", "ai", "heuristic"), default="auto")
+            p.add_argument("--provider", help="module:name of a SuggestionProvider")
     p = sub.add_parser("delete")
     p.add_argument("ids", type=int, nargs="+")
     p.add_argument("--mode", choices=actions.MODES)
@@ -51,6 +60,7 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_parser("usage")
     p = sub.add_parser("prune")
     p.add_argument("--keep", type=int, default=3)
+    p.add_argument("--keep-cache", action="store_true", help="also of files that are no longer there")
     p.add_argument("--compact", action="store_true")
     return top
 
@@ -95,10 +105,17 @@ def empty(store: Store, scan_id: int) -> int:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("mirrorlake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    store, o = Store(spark, a.store), ScanOptions(roots=tuple(a.root))
+    if spark is None:
+        made = SparkSession.builder.appName("mirrorlake").config("spark.sql.session.timeZone", "UTC")
+        spark = (made.config("spark.checkpoint.dir", a.shared) if a.shared else made).getOrCreate()
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise SystemExit("on a cluster, name a folder that all executors see: --shared or spark.checkpoint.dir")
+    store, o = Store(spark, a.store), ScanOptions.load(a.config) if a.config else ScanOptions()
+    if a.root:
+        o = o.updated({"roots": tuple(a.root)})
     now = time.time()
     if a.command == "scan":
+        scans.recover(store)
         o = o.updated({"near_duplicates": not a.no_near, "verify_bytes": not a.no_verify, "quick_rescan": a.quick_rescan, "near_threshold": a.threshold, "min_size": a.min_size})
         n = scans.run(store, a.path, o, scans.Progress(lambda s: print(f"{s['nth']}/{s['of']} {s['phase']}")))
         _print(store.read("scans").filter(F.col("id") == n).select("id", "state", "files_seen", paths.human_bytes("bytes_seen").alias("bytes"), "groups_found", paths.human_bytes("wasted_bytes").alias("wasted")))
@@ -108,7 +125,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         _print(results.usage_by_scan(store.read("scans"), store.read("files"), store.read("groups")).limit(50))
         return 0
     if a.command == "prune":
-        print(store.prune(a.keep))
+        there = None if a.keep_cache else walker.existing(store.read("hash_cache"))
+        print(store.prune(a.keep, there))
         if a.compact:
             store.compact()
         return 0
@@ -139,7 +157,13 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif a.command == "folders":
         _print(folders.folder_report(members, files, a.limit))
     elif a.command == "suggest":
-        store.replace("suggestions", store.read("suggestions").filter(F.col("scan_id") != which.id).unionByName(suggest.suggestions(groups, members, files, now, o)))
+        provider = None
+        if a.provider:
+            module, _, name = a.provider.partition(":")
+            provider = getattr(importlib.import_module(module), name)()
+        made = cut(suggest.suggest(groups, members, files, now, o, a.engine, provider, a.ids))
+        store.replace("suggestions", suggest.upserted(store.read("suggestions"), made))
+        _print(suggest.progress(groups, own("suggestions")))
         _print(store.read("suggestions").filter(F.col("scan_id") == which.id).select("group_id", "summary", "merge_plan", "confidence").limit(a.limit))
     elif a.command == "log":
         _print(results.action_log(store.read("actions"), which.id, a.limit))

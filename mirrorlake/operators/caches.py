@@ -81,23 +81,28 @@ def current_status(files: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def finished(scans: DataFrame, now: float) -> DataFrame:
-    """Scans that were running when the process ended are errors from now on."""
+    """Scans that were running when the process ended were cancelled by that."""
     lost = F.col("state") == "running"
     return scans.withColumns({
         "finished_at": F.when(lost, F.coalesce("finished_at", F.lit(now))).otherwise(F.col("finished_at")),
-        "error": F.when(lost, F.coalesce("error", F.lit("interrupted"))).otherwise(F.col("error")),
-        "state": F.when(lost, F.lit("error")).otherwise(F.col("state")),
+        "error": F.when(lost, F.coalesce("error", F.lit("interrupted by a restart"))).otherwise(F.col("error")),
+        "state": F.when(lost, F.lit("cancelled")).otherwise(F.col("state")),
     })
 
 
+def unchanged(dirs: DataFrame, known_dirs: DataFrame) -> DataFrame:
+    """(path) of the folders whose time of change is that of the scan before."""
+    before = known_dirs.select("path", F.col("mtime").alias("_mtime"))
+    return dirs.join(before, "path").filter(same_time(F.col("mtime"), F.col("_mtime"))).select("path").distinct()
+
+
 def carry_over(dirs: DataFrame, known_dirs: DataFrame, known_files: DataFrame, found: DataFrame, scan_id: int) -> DataFrame:
     """A quick rescan's catalogue.
 
     Folders whose time of change is that of the scan before keep its present
     files; of all others the files ``found`` count.
     """
-    before = known_dirs.select("path", F.col("mtime").alias("_mtime"))
-    same = dirs.join(before, "path").filter(same_time(F.col("mtime"), F.col("_mtime"))).select(F.col("path").alias("parent"))
+    same = unchanged(dirs, known_dirs).withColumnRenamed("path", "parent")
     kept = known_files.filter("status = 'present'").join(same, "parent", "left_semi").withColumn("scan_id", F.lit(scan_id).cast("long"))
     fresh = found.join(same, "parent", "left_anti").withColumn("scan_id", F.lit(scan_id).cast("long"))
     cols = [c for c in found.columns if c in known_files.columns]

@@ -3,13 +3,14 @@
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014): both
 steps only ever link nodes to smaller ones of their component, so the edges turn
 into stars around the least node in a number of rounds that grows with the
-logarithm of the input. Each step is one shuffle; no adjacency list is ever held
-in memory.
+logarithm of the input. The least neighbour of each node is a partial aggregate and
+comes back by a join, which Spark can split where a node has very many neighbours;
+no adjacency list is ever held in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorlake.operators.lineage import cut
@@ -17,14 +18,13 @@ from mirrorlake.operators.lineage import cut
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-    return both.select("a", "b", least.alias("m")).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    return both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = F.min("b").over(Window.partitionBy("a"))
-    seen = down.select("a", "b", least.alias("m"))
+    seen = down.join(down.groupBy("a").agg(F.min("b").alias("m")), "a")
     links = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
     return seen.select(F.explode(links).alias("e")).select("e.*").filter("a <> b").distinct()
 

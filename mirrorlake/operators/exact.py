@@ -66,30 +66,33 @@ def quick_candidates(files: DataFrame) -> DataFrame:
 
 
 def md5_groups(files: DataFrame) -> DataFrame:
-    """(md5, size, ids) of more than one file with the same hash and size."""
-    rows = with_md5(files.filter("size > 0")).select("id", "md5", "size")
-    return rows.groupBy("md5", "size").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
+    """(md5, size, least, id): a row for each file that has the same hash and size as another, and the least id of them."""
+    rows = cut(with_md5(files.filter("size > 0")).select("id", "md5", "size").dropna())
+    groups = rows.groupBy("md5", "size").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(groups, ["md5", "size"]).select("md5", "size", "least", "id")
 
 
 def verified_clusters(files: DataFrame, verify: bool = True) -> DataFrame:
-    """(signature, verified, size, ids) of groups of equal content.
+    """(signature, verified, size, least, id): a row for each file of a group of equal content, with the group's least id.
 
     With ``verify`` the files of one MD5 are parted by a 512-bit hash of their
     bytes; the first part, by least id, keeps the MD5 as signature, others add a
     number, which counts parts of one file too. Files without content are left out.
     """
     if not verify:
-        return md5_groups(files).select(F.col("md5").alias("signature"), F.lit(False).alias("verified"), "size", "ids")
+        return md5_groups(files).select(F.col("md5").alias("signature"), F.lit(False).alias("verified"), "size", "least", "id")
     rows = with_md5(files.filter("size > 0 and content is not null")).select("id", "md5", "size", signatures.strong_hash(F.col("content")).alias("strong"))
-    parts = rows.groupBy("md5", "size", "strong").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return numbered(parts)
+    return numbered(rows)
 
 
-def numbered(parts: DataFrame) -> DataFrame:
-    """Clusters of the parts (md5, size, strong, ids) of each MD5, named in order of their least id."""
-    nth = F.row_number().over(Window.partitionBy("md5", "size").orderBy(F.col("ids")[0])) - 1
+def numbered(hashed: DataFrame) -> DataFrame:
+    """The clusters of (id, md5, size, strong), as :func:`verified_clusters` gives them; parts of an MD5 are numbered by their least id."""
+    rows = cut(hashed.select("id", "md5", "size", "strong").dropna())
+    parts = rows.groupBy("md5", "size", "strong").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("md5", "size").orderBy("least")) - 1  # one part, but for collisions
     signature = F.when(F.col("nth") == 0, F.col("md5")).otherwise(F.concat("md5", F.lit("#"), F.col("nth").cast("string")))
-    return parts.withColumn("nth", nth).filter(F.size("ids") > 1).select(signature.alias("signature"), F.lit(True).alias("verified"), "size", "ids")
+    parts = parts.withColumn("nth", nth).filter("n > 1").withColumn("signature", signature)
+    return rows.join(parts, ["md5", "size", "strong"]).select("signature", F.lit(True).alias("verified"), "size", "least", "id")
 
 
 def cascade(files: DataFrame, o: ScanOptions | None = None) -> DataFrame:

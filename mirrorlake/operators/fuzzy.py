@@ -6,7 +6,7 @@ share, and for images from bit bands of which one must agree; nothing is capped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorlake.functions import ctph, names, paths
@@ -19,7 +19,7 @@ from mirrorlake.options import ScanOptions
 
 def redundant(clusters: DataFrame) -> DataFrame:
     """(id) of all but the first of each exact group."""
-    return clusters.select(F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("id")).distinct()
+    return clusters.filter("id <> least").select("id").distinct()
 
 
 def fuzzy_eligible(files: DataFrame, gone: DataFrame, o: ScanOptions) -> DataFrame:
@@ -53,13 +53,23 @@ def with_signatures(files: DataFrame, o: ScanOptions) -> DataFrame:
 def signature_pairs(signed: DataFrame, o: ScanOptions) -> DataFrame:
     """(a, b, content), a < b, of (id, fuzzy) with a positive content score.
 
-    ``signed`` is cut: keys and scores are both read from it.
+    ``signed`` is cut: keys and scores are both read from it. Files of one signature
+    are one there, the least; so a score is worked out once for two signatures, and
+    files that have their signature in common are paired with the least of them.
     """
-    key = signed.filter("fuzzy is not null").select("id", F.explode(ctph.keys_column(F.col("fuzzy"), o.parity)).alias("key"))
-    key = key.withColumn("key", F.xxhash64("key"))
-    key = cut(key.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").drop("n"))
+    known = signed.filter("fuzzy is not null").select("id", "fuzzy")
+    first = cut(known.groupBy("fuzzy").agg(F.min("id").alias("rep")))
+    key = cut(first.select(F.col("rep").alias("id"), F.explode(ctph.keys_column(F.col("fuzzy"), o.parity)).alias("key")).withColumn("key", F.xxhash64("key")))
+    many = cut(key.groupBy("key").count().filter("count > 1").select("key"))
+    key = cut(key.join(small(many), "key", "left_semi").select("id", "key"))
     pairs = key.select(F.col("id").alias("a"), "key").join(key.select(F.col("id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
-    side = lambda c: signed.select(F.col("id").alias(c), F.col("fuzzy").alias("f" + c))
+    stars = known.join(first, "fuzzy").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return content_scores(pairs.unionByName(stars), signed, o)
+
+
+def content_scores(pairs: DataFrame, signed: DataFrame, o: ScanOptions) -> DataFrame:
+    """(a, b, content) of the (a, b) whose signatures score."""
+    side = lambda c: signed.select(F.col("id").alias(c), F.col("fuzzy").alias("f" + c)).filter(f"f{c} is not null")
     scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", ctph.compare_column(F.col("fa"), F.col("fb"), o.parity).alias("content"))
     return scored.filter("content > 0")
 
@@ -105,12 +115,14 @@ def mixed_scores(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return rows.select("a", "b", "content", score.alias("score"))
 
 
-def near_members(pairs: DataFrame, files: DataFrame, exact: DataFrame, o: ScanOptions | None = None) -> DataFrame:
+def near_members(pairs: DataFrame, files: DataFrame, exact: DataFrame, o: ScanOptions | None = None, signed: DataFrame | None = None) -> DataFrame:
     """(group_id, file_id, similarity, signature, verified) of the components of (a, b, score).
 
     The largest, then oldest file represents a group at 100; others have the score
     of their pair with it, else 0.9 of the best pair that touches either. Groups
     within the ids of exact groups, ``exact`` (id), are dropped unless asked for.
+    With ``signed`` (id, size, name, ext, fuzzy) a member that ``pairs`` don't have
+    beside the representative, as its signature is another's, is compared with it.
     """
     o = o or ScanOptions()
     pairs = cut(pairs.select("a", "b", F.col("score").cast("double").alias("score")))
@@ -122,6 +134,11 @@ def near_members(pairs: DataFrame, files: DataFrame, exact: DataFrame, o: ScanOp
     if not o.report_linked_exact:
         groups = groups.filter("not inside")
     rows = nodes.select("node", "component").join(groups.select("component", "rep", "least"), "component")
+    if signed is not None:
+        rows = cut(rows)
+        beside = rows.filter("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).join(pairs, ["a", "b"], "left_anti")
+        more = mixed_scores(content_scores(beside, signed, o), signed).filter(F.col("score") >= o.near_threshold)
+        pairs = cut(pairs.unionByName(more.select("a", "b", F.col("score").cast("double").alias("score"))))
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "score"))
     best = both.groupBy("node").agg(F.max("score").alias("best"))
     rows = rows.join(both.withColumnRenamed("other", "rep"), ["node", "rep"], "left").join(best, "node").join(best.select(F.col("node").alias("rep"), F.col("best").alias("rep_best")), "rep")
@@ -129,10 +146,18 @@ def near_members(pairs: DataFrame, files: DataFrame, exact: DataFrame, o: ScanOp
     return rows.select(group_id(F.col("least"), "near").alias("group_id"), F.col("node").alias("file_id"), sim.alias("similarity"), F.lit(None).cast("string").alias("signature"), F.lit(False).alias("verified"))
 
 
-def near_pairs(files: DataFrame, clusters: DataFrame, o: ScanOptions | None = None, images: DataFrame | None = None) -> DataFrame:
-    """(a, b, content, score) of near duplicates: by signatures, and (id, bits) of ``images`` not paired so."""
+def signed_files(files: DataFrame, clusters: DataFrame, o: ScanOptions) -> DataFrame:
+    """(id, size, name, ext, fuzzy) of the files worth a signature, written once."""
+    return cut(with_signatures(fuzzy_eligible(files, redundant(clusters), o), o).select("id", "size", "name", "ext", "fuzzy"))
+
+
+def near_pairs(files: DataFrame, clusters: DataFrame, o: ScanOptions | None = None, images: DataFrame | None = None, signed: DataFrame | None = None) -> DataFrame:
+    """(a, b, content, score) of near duplicates: by signatures, and (id, bits) of ``images`` not paired so.
+
+    Of files with one signature the least stands for all: each other has one pair with it.
+    """
     o = o or ScanOptions()
-    signed = cut(with_signatures(fuzzy_eligible(files, redundant(clusters), o), o).select("id", "size", "name", "ext", "fuzzy"))
+    signed = signed_files(files, clusters, o) if signed is None else signed
     pairs = mixed_scores(signature_pairs(signed, o), signed).filter(F.col("score") >= o.near_threshold)
     if images is not None:
         pairs = cut(pairs)

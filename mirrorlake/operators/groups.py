@@ -18,9 +18,9 @@ def group_id(least: Column, kind: str) -> Column:
 
 def exact_members(clusters: DataFrame) -> DataFrame:
     """(group_id, file_id, similarity, signature, verified): 100 where proven, else 99."""
-    gid = group_id(F.col("ids")[0], "exact").alias("group_id")
+    gid = group_id(F.col("least"), "exact").alias("group_id")
     sim = F.when(F.col("verified"), 100.0).otherwise(99.0).alias("similarity")
-    return clusters.select(gid, F.explode("ids").alias("file_id"), sim, "signature", "verified")
+    return clusters.select(gid, F.col("id").alias("file_id"), sim, "signature", "verified")
 
 
 def group_rows(members: DataFrame, files: DataFrame, kind: str) -> DataFrame:

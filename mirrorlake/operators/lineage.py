@@ -20,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # read at each checkpoint
     now = sc.getCheckpointDir()
     if now is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mirrorlake-"))
@@ -30,12 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there on.
 
-    The copy survives lost executors and Spark's cleaner removes it.
+    The copy survives lost executors. Spark's cleaner removes it once no plan refers
+    to it any more, after a garbage collection of the driver; what a session that ends
+    before leaves lies below the checkpoint folder and can go with it.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of ours that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _width(column: Column, kind: DataType) -> Column:
     """About how many bytes a value takes in a row."""
     if isinstance(kind, StringType | BinaryType):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -132,3 +132,33 @@ def suggestions_by(provider: SuggestionProvider, groups: DataFrame, members: Dat
             continue
     proposed = spark.createDataFrame(rows, f"group_id long, keep_file_id long, confidence int, summary string, merge_plan string, verdicts {VERDICTS}")
     return with_fallback(checked(proposed, top, members, files, now), suggestions(groups, members, files, now))
+
+
+def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Suggestions with those of ``new`` in place of older ones of the same groups."""
+    return old.join(new.select("group_id"), "group_id", "left_anti").select(old.columns).unionByName(new.select(old.columns))
+
+
+def suggest(groups: DataFrame, members: DataFrame, files: DataFrame, now: float, o: ScanOptions | None = None, engine: str = "auto", provider: SuggestionProvider | None = None, ids: Sequence[int] = ()) -> DataFrame:
+    """Suggestions for all groups, or those of ``ids``, by an engine: "heuristic", "ai", which needs a provider, or "auto".
+
+    "auto" asks the provider if there is one, else goes by the heuristic.
+    """
+    if engine not in ("auto", "ai", "heuristic"):
+        raise ValueError(f"unknown engine {engine}")
+    if engine == "ai" and provider is None:
+        raise ValueError("no provider of suggestions")
+    if ids:
+        groups = groups.filter(F.col("id").isin(*ids))
+    if engine == "heuristic" or provider is None:
+        return suggestions(groups, members, files, now, o)
+    return suggestions_by(provider, groups, members, files, now)
+
+
+def progress(groups: DataFrame, said: DataFrame) -> DataFrame:
+    """(scan_id, todo, done, by_ai, by_heuristic, sure): groups of each scan, those with a suggestion, by source and with a confidence of 80 or more."""
+    own = said.select(F.col("group_id").alias("id"), "source", "confidence")
+    is_ = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    return groups.select("id", "scan_id").join(own, "id", "left").groupBy("scan_id").agg(
+        F.count("*").alias("todo"), F.count("source").alias("done"), is_(F.col("source") == "ai").alias("by_ai"), is_(F.col("source") == "heuristic").alias("by_heuristic"), is_(F.col("confidence") >= 80).alias("sure")
+    )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from dataclasses import asdict, dataclass, fields, replace
 
 TRASH = ".mirrorlake-trash"
 _DIRS = ("$RECYCLE.BIN", "lost+found", "node_modules", "System Volume Information", TRASH)
@@ -57,3 +59,24 @@ class ScanOptions:
                 else:
                     new[f.name] = type(old)(v)
         return replace(self, **new)
+
+    @classmethod
+    def load(cls, path: str) -> ScanOptions:
+        """From a JSON file; values it lacks are the defaults, which also stand for one that can't be read. A missing file is made."""
+        o = cls()
+        try:
+            with open(path, encoding="utf-8") as f:
+                stored = json.load(f)
+            return o.updated(stored) if isinstance(stored, dict) else o
+        except FileNotFoundError:
+            o.save(path)
+        except (OSError, ValueError, TypeError):
+            pass
+        return o
+
+    def save(self, path: str) -> None:
+        """As JSON, in place of what was there at once or not at all."""
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path + ".new", "w", encoding="utf-8") as f:
+            json.dump(asdict(self), f, indent=1, sort_keys=True)
+        os.replace(path + ".new", path)

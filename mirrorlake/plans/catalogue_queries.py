@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mirrorlake.functions import ctph, images, names, paths, signatures
@@ -44,10 +44,6 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.documents(spark, d)
 
 
-def _csv(ids: str) -> F.Column:
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
-
-
 # ---- scans and filters
 
 
@@ -115,27 +111,26 @@ def quick_candidates(spark: SparkSession, d: str) -> DataFrame:
     return exact.quick_candidates(_docs(spark, d)).select("id", "size", "quick")
 
 
-@_query("SELECT md5, size, string_agg(id, ',' ORDER BY id) AS ids FROM files WHERE size > 0 GROUP BY md5, size HAVING count(*) > 1", _FILES)
+@_query("SELECT md5, size, least, id FROM (SELECT md5, size, id, min(id) OVER w AS least, count(*) OVER w AS n FROM files WHERE size > 0 WINDOW w AS (PARTITION BY md5, size)) WHERE n > 1", _FILES)
 def md5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return exact.md5_groups(_docs(spark, d)).select("md5", "size", _csv("ids").alias("ids"))
+    return exact.md5_groups(_docs(spark, d))
 
 
 @_query(
     """, short AS (SELECT id, size, substr(md5, 1, 1) AS md5, text FROM files WHERE size > 0),
-parts AS (SELECT md5, size, text, min(id) AS least, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM short GROUP BY md5, size, text),
+parts AS (SELECT md5, size, text, min(id) AS least, count(*) AS n FROM short GROUP BY md5, size, text),
 named AS (SELECT *, row_number() OVER (PARTITION BY md5, size ORDER BY least) - 1 AS nth FROM parts)
-SELECT md5 || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END AS signature, true AS verified, size, ids FROM named WHERE n > 1""", _FILES)
+SELECT md5 || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END AS signature, true AS verified, size, least, id FROM named JOIN short USING (md5, size, text) WHERE n > 1""", _FILES)
 def verified_clusters(spark: SparkSession, d: str) -> DataFrame:
     """With hashes cut to one character, so that there are collisions to part."""
     files = _docs(spark, d).withColumn("md5", F.substring("md5", 1, 1))
-    return exact.verified_clusters(files).withColumn("ids", _csv("ids"))
+    return exact.verified_clusters(files)
 
 
 @_query(f"SELECT {_GROUP_ROW} FROM groups WHERE kind = 'exact'", _SCAN)
 def exact_groups(spark: SparkSession, d: str) -> DataFrame:
     files = _docs(spark, d)
-    clusters = exact.verified_clusters(files.drop("content"), verify=False).withColumn("verified", F.lit(True))
-    return groups.exact_groups(files, clusters)
+    return groups.exact_groups(files.drop("content"), exact.verified_clusters(files))
 
 
 @_query(f"SELECT {_GROUP_ROW} FROM groups WHERE kind = 'exact'", _SCAN)
@@ -240,11 +235,13 @@ def bare_names(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Names of exact copies compared."""
+    """The name of each exact copy compared with that of the first of its group."""
     s = made.scan(spark, d)
-    rows = s.members.filter("group_id % 2 = 0").join(s.files.select(F.col("id").alias("file_id"), "name"), "file_id").select("group_id", "file_id", "name")
-    other = rows.select("group_id", F.col("file_id").alias("other"), F.col("name").alias("other_name"))
-    return rows.join(other, "group_id").filter("file_id < other").select("file_id", "other", names.name_similarity("name", "other_name").alias("similarity"))
+    first = F.floor(F.col("group_id") / 2).cast("long").alias("file_id")
+    rows = s.members.filter("group_id % 2 = 0").select(first, F.col("file_id").alias("other")).filter("file_id <> other")
+    side = lambda c, name: s.files.select(F.col("id").alias(c), F.col("name").alias(name))
+    rows = rows.join(side("file_id", "x"), "file_id").join(side("other", "y"), "other")
+    return rows.select("file_id", "other", names.name_similarity("x", "y").alias("similarity"))
 
 
 _FOLDER = "coalesce(nullif(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g'), 'e?s$', ''), ''), regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g'))"
@@ -309,10 +306,11 @@ def ctph_signatures(spark: SparkSession, d: str) -> DataFrame:
     return files.select("id", "size", ctph.signature_column(F.col("content"), F.col("size"), WHOLE.fuzzy_max_bytes).alias("fuzzy"))
 
 
-def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     files = _docs(spark, d)
     clusters = cut(exact.md5_groups(files))
-    return files, clusters, fuzzy.near_pairs(files, clusters, WHOLE)
+    signed = fuzzy.signed_files(files, clusters, WHOLE)
+    return files, clusters, fuzzy.near_pairs(files, clusters, WHOLE, signed=signed), signed
 
 
 @_query()
@@ -322,11 +320,31 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def near_groups(spark: SparkSession, d: str) -> DataFrame:
-    files, clusters, pairs = _near(spark, d)
-    members = fuzzy.near_members(pairs, files, clusters.select(F.explode("ids").alias("id")), WHOLE)
+    files, clusters, pairs, signed = _near(spark, d)
+    members = fuzzy.near_members(pairs, files, clusters.select("id"), WHOLE, signed)
     return groups.group_rows(members, files, "near")
 
 
+@_query(
+    """, b AS (SELECT id, size, mtime, size // 16 AS k FROM files WHERE size > 0),
+near AS (SELECT lag(id) OVER w AS a, id AS b, lag(size) OVER w AS sa, size AS sb, k FROM b WINDOW w AS (PARTITION BY k ORDER BY id)),
+pairs AS (SELECT a, b, k, CAST(100 * least(sa, sb) // greatest(sa, sb) AS DOUBLE) AS score FROM near WHERE a IS NOT NULL),
+copies AS (SELECT f.id FROM files f JOIN (SELECT md5, size FROM files WHERE size > 0 GROUP BY md5, size HAVING count(*) > 1) e ON e.md5 = f.md5 AND e.size = f.size),
+nodes AS (SELECT b.*, b.id IN (SELECT id FROM copies) AS known, row_number() OVER (PARTITION BY k ORDER BY size DESC, mtime, id) AS place FROM b WHERE k IN (SELECT k FROM pairs)),
+comps AS (SELECT k, min(id) AS least, max(CASE WHEN place = 1 THEN id END) AS rep FROM nodes GROUP BY k HAVING NOT bool_and(known)),
+ends AS (SELECT a AS id, b AS other, score FROM pairs UNION ALL SELECT b, a, score FROM pairs),
+best AS (SELECT id, max(score) AS best FROM ends GROUP BY id)
+SELECT 2 * c.least + 1 AS group_id, n.id AS file_id, CASE WHEN n.id = c.rep THEN CAST(100 AS DOUBLE) ELSE coalesce(e.score, CAST(0.9 AS DOUBLE) * greatest(x.best, y.best)) END AS similarity
+FROM nodes n JOIN comps c ON c.k = n.k LEFT JOIN ends e ON e.id = n.id AND e.other = c.rep JOIN best x ON x.id = n.id JOIN best y ON y.id = c.rep""", _FILES)
+def near_members_on_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Groups, representatives and similarities over given pairs: each file and the next of about its size."""
+    files = _docs(spark, d).drop("content")
+    w = Window.partitionBy(F.floor(F.col("size") / 16)).orderBy("id")
+    near = files.filter("size > 0").select(F.lag("id").over(w).alias("a"), F.col("id").alias("b"), F.lag("size").over(w).alias("x"), "size").filter("a is not null")
+    pairs = near.select("a", "b", F.floor(100 * F.least("x", "size") / F.greatest("x", "size")).alias("score"))
+    return fuzzy.near_members(pairs, files, exact.md5_groups(files).select("id")).select("group_id", "file_id", "similarity")
+
+
 _IMAGES = f"{_FILES}, bits AS (SELECT id, xor(CAST('0x' || substr(md5(CAST(id // 3 AS VARCHAR)), 1, 15) AS BIGINT), CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 31 ELSE {31 << 20 | 7 << 40} END::BIGINT) AS bits FROM files) "
 
 
@@ -412,7 +430,7 @@ def recent_scans(spark: SparkSession, d: str) -> DataFrame:
     return results.recent_scans(made.scans(spark, d)).select("id", "root", "state")
 
 
-@_query("SELECT id, CASE WHEN state = 'running' THEN 'error' ELSE state END AS state, CASE WHEN state = 'running' THEN 5.0::DOUBLE ELSE finished_at END AS finished_at, CASE WHEN state = 'running' THEN 'interrupted' ELSE error END AS error FROM scans", _LATEST)
+@_query("SELECT id, CASE WHEN state = 'running' THEN 'cancelled' ELSE state END AS state, CASE WHEN state = 'running' THEN 5.0::DOUBLE ELSE finished_at END AS finished_at, CASE WHEN state = 'running' THEN 'interrupted by a restart' ELSE error END AS error FROM scans", _LATEST)
 def crash_recovery(spark: SparkSession, d: str) -> DataFrame:
     return caches.finished(made.scans(spark, d), 5.0).select("id", "state", "finished_at", "error")
 
@@ -472,7 +490,7 @@ def suggestions(spark: SparkSession, d: str) -> DataFrame:
     return made.scan(spark, d).suggestions.select("group_id", "scan_id", "source", "keep_file_id", "confidence", "summary", "merge_plan")
 
 
-@_query("SELECT group_id, file_id FROM verdicts WHERE action = 'delete' AND group_id % 10 <> 4", _SCAN)
+@_query("SELECT group_id, file_id FROM verdicts WHERE action = 'delete'", _SCAN)
 def suggested_selection(spark: SparkSession, d: str) -> DataFrame:
     s = made.scan(spark, d)
     return results.suggested_selection(s.members, s.files, s.suggestions)

@@ -28,20 +28,21 @@ class Scan:
 
 def near_members(files: DataFrame) -> DataFrame:
     """Files of one size that aren't all equal; the least id represents them."""
-    rows = files.filter("size > 0").groupBy("size").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("md5").alias("x"), F.max("md5").alias("y")).filter("x <> y")
-    one = rows.select(groups.group_id(F.col("ids")[0], "near").alias("group_id"), F.col("ids")[0].alias("rep"), F.explode("ids").alias("file_id"))
+    rows = files.filter("size > 0").groupBy("size").agg(F.min("id").alias("rep"), F.min("md5").alias("x"), F.max("md5").alias("y")).filter("x <> y")
+    one = files.select("size", F.col("id").alias("file_id")).join(rows, "size").select(groups.group_id(F.col("rep"), "near").alias("group_id"), "rep", "file_id")
     sim = F.when(F.col("file_id") == F.col("rep"), 100.0).otherwise((F.col("file_id") % 40 + 60).cast("double"))
     return one.select("group_id", "file_id", sim.alias("similarity"), F.lit(None).cast("string").alias("signature"), F.lit(False).alias("verified"))
 
 
 def scan(spark: SparkSession, sf_dir: str) -> Scan:
-    files = cut(catalogue.documents(spark, sf_dir).drop("content"))  # as a store would have it: contents are hashed once
-    clusters = exact.verified_clusters(files, verify=False).withColumn("verified", F.lit(True))
+    docs = catalogue.documents(spark, sf_dir)
+    files = cut(docs.drop("content"))  # as a store would have it: contents are hashed once
+    clusters = exact.verified_clusters(docs)
     found = cut(groups.exact_members(clusters).unionByName(near_members(files)))
     kind = lambda nth: found.filter(F.col("group_id") % 2 == nth)
     rows = cut(groups.group_rows(kind(0), files, "exact").unionByName(groups.group_rows(kind(1), files, "near")))
     members = found.select("group_id", "file_id", "similarity")
-    return Scan(files, rows, members, suggest.suggestions(rows.filter("id % 10 <> 4"), members, files, NOW))
+    return Scan(files, rows, members, suggest.suggestions(rows, members, files, NOW))
 
 
 _GROUP = """min(f.scan_id) AS scan_id, '{k}' AS kind, {sig} AS signature, {sim} AS similarity, {v} AS verified, count(*) AS file_count, CAST(sum(f.size) AS BIGINT) AS total_bytes,
@@ -74,7 +75,7 @@ suggestions AS (
   SELECT group_id, min(scan_id) AS scan_id, 'heuristic' AS source, arg_min(file_id, place) AS keep_file_id, CAST(CASE WHEN min(kind) = 'exact' THEN 90 ELSE 55 END AS INTEGER) AS confidence,
     'keep ' || arg_min(name, place) AS summary,
     CASE WHEN count(DISTINCT parent) > 1 THEN 'gather in ' || arg_min(parent, place) || '; copies in ' || (count(DISTINCT parent) - 1) || ' more folders' ELSE 'nothing to merge: one folder' END AS merge_plan
-  FROM verdicts WHERE group_id % 10 <> 4 GROUP BY group_id),
+  FROM verdicts GROUP BY group_id),
 live AS (
   SELECT m.group_id, count(*) AS files, max(f.size) AS largest, CAST(CASE WHEN count(*) > 1 THEN sum(f.size) - max(f.size) ELSE 0 END AS BIGINT) AS wasted, count(DISTINCT f.parent) AS folders
   FROM group_members m JOIN files f ON f.id = m.file_id WHERE f.status = 'present' GROUP BY m.group_id),

@@ -1,8 +1,9 @@
 """A folder tree as a table, read by Spark's Python data source API.
 
-One partition for each folder below the root, one for the root itself, so a tree
-is walked by as many tasks as it has branches. Only the catalogue is read here;
-:func:`hashed` adds signatures, on the executors.
+Folders are listed on the driver from the root on until there are some dozens of
+branches, each of which is a task, so a tree of one folder below the root is shared
+out as well. Only the catalogue is read here; :func:`hashed` adds signatures, on the
+executors.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from mirrorlake.functions.signatures import EDGE
 from mirrorlake.operators import exact
 from mirrorlake.options import ScanOptions
 
+#: Branches that a tree is parted into, as far as it has so many folders.
+BRANCHES = 64
 SCHEMA = "path string, parent string, name string, ext string, size long, mtime double, dev long, inode long, nlink long"
 
 
@@ -62,10 +65,29 @@ class _Walk(DataSourceReader):
             return []
 
     def _subfolder(self, e: os.DirEntry) -> bool:
-        return (self.follow or not e.is_symlink()) and e.is_dir(follow_symlinks=self.follow) and e.name not in self.dirs
+        try:
+            return (self.follow or not e.is_symlink()) and e.is_dir(follow_symlinks=self.follow) and e.name not in self.dirs
+        except OSError:
+            return False
 
     def partitions(self) -> list[InputPartition]:
-        return [_Branch(self.root, False), *(_Branch(e.path, True) for e in self._entries(self.root) if self._subfolder(e))]
+        alone, todo, seen = [], [self.root], set()
+        while todo and len(todo) < BRANCHES and len(alone) < 4 * BRANCHES:
+            here = todo.pop(0)
+            try:
+                st = os.stat(here)
+            except OSError:
+                continue
+            if (st.st_dev, st.st_ino) in seen:
+                continue
+            seen.add((st.st_dev, st.st_ino))
+            alone.append(_Branch(here, False))
+            todo += [e.path for e in self._entries(here) if self._subfolder(e)]
+        return [*alone, *(_Branch(p, True) for p in todo)]
+
+    def files(self, here: str) -> Iterator[tuple]:
+        """The rows of a folder's own files."""
+        return self.read(_Branch(here, False))
 
     def read(self, partition: _Branch) -> Iterator[tuple]:
         bad = re.compile(self.globs).match if self.globs else lambda name: None
@@ -112,12 +134,20 @@ class TreeSource(DataSource):
         return _Walk({k.lower(): v for k, v in self.options.items()})
 
 
+def _options(o: ScanOptions, folders: bool) -> dict[str, str]:
+    d = asdict(o)
+    return {"excludeDirs": "\n".join(d["exclude_dirs"]), "excludeGlobs": "\n".join(d["exclude_globs"]), "minSize": str(o.min_size), "maxSize": str(o.max_size), "followSymlinks": str(o.follow_symlinks).lower(), "folders": str(folders).lower()}
+
+
 def _read(spark: SparkSession, root: str, o: ScanOptions, folders: bool) -> DataFrame:
     spark.dataSource.register(TreeSource)
-    d = asdict(o)
-    made = spark.read.format("tree").option("excludeDirs", "\n".join(d["exclude_dirs"])).option("excludeGlobs", "\n".join(d["exclude_globs"])).option("minSize", o.min_size).option("maxSize", o.max_size)
-    made = made.option("followSymlinks", str(o.follow_symlinks).lower()).option("folders", str(folders).lower())
-    return made.load(resolved(root, o.roots))
+    return spark.read.format("tree").options(**_options(o, folders)).load(resolved(root, o.roots))
+
+
+def _reached(spark: SparkSession, root: str, o: ScanOptions) -> DataFrame:
+    """Folders, each by its least path: by links one can be reached from several branches."""
+    rows = _read(spark, root, o, True).dropDuplicates(["path"])
+    return rows.groupBy("dev", "inode").agg(F.min("path").alias("path"), F.max("mtime").alias("mtime")) if o.follow_symlinks else rows
 
 
 def tree(spark: SparkSession, root: str, o: ScanOptions | None = None) -> DataFrame:
@@ -125,14 +155,40 @@ def tree(spark: SparkSession, root: str, o: ScanOptions | None = None) -> DataFr
 
     ``id`` is a hash of the path, so it stays the same from scan to scan.
     """
-    rows = _read(spark, root, o or ScanOptions(), False).dropDuplicates(["path"])
-    rows = exact.collapse_hardlinks(rows)
-    return rows.withColumn("id", F.shiftrightunsigned(F.xxhash64("path"), 2))
+    o = o or ScanOptions()
+    rows = _read(spark, root, o, False).dropDuplicates(["path"])
+    if o.follow_symlinks:
+        rows = rows.join(_reached(spark, root, o).select(F.col("path").alias("parent")), "parent", "left_semi")
+    return _identified(rows)
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    return exact.collapse_hardlinks(rows).withColumn("id", F.shiftrightunsigned(F.xxhash64("path"), 2))
+
+
+def listing(dirs: DataFrame, o: ScanOptions | None = None) -> DataFrame:
+    """What :func:`tree` has of the files that lie in the folders (path) themselves; no others are looked at."""
+    walk = _Walk({k.lower(): v for k, v in (_options(o or ScanOptions(), False) | {"path": ""}).items()})
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for here in b["path"]:
+                if rows := list(walk.files(here)):
+                    yield pd.DataFrame(rows, columns=names)
+
+    return _identified(dirs.select("path").distinct().mapInPandas(run, SCHEMA))
+
+
+def existing(paths: DataFrame) -> DataFrame:
+    """Those of the (path) that are there, as the executors see it."""
+    there = F.pandas_udf(lambda s: s.map(os.path.lexists), "boolean")
+    return paths.select("path").distinct().filter(there("path"))
 
 
 def folders(spark: SparkSession, root: str, o: ScanOptions | None = None) -> DataFrame:
     """(path, mtime) of all folders of the tree."""
-    return _read(spark, root, o or ScanOptions(), True).select("path", "mtime").dropDuplicates(["path"])
+    return _reached(spark, root, o or ScanOptions()).select("path", "mtime")
 
 
 def hashed(files: DataFrame, kind: str, most: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorlake import cli
-from mirrorlake.operators import actions
+from mirrorlake.operators import actions, lineage, suggest
 from mirrorlake.operators.store import Store
 from mirrorlake.options import ScanOptions
 from mirrorlake.plans import scan
@@ -108,6 +108,123 @@ def test_scan_delete_restore_rescan_prune(spark, tree, tmp_path, capsys):
         cli.empty(store, 77)
 
 
+def picture(seed):
+    """A PNG of 32 x 32 in shades of grey."""
+    import struct
+    import zlib
+
+    r = random.Random(seed)
+    rows = b"".join(b"\0" + bytes(r.randrange(256) for _ in range(32)) for _ in range(32))
+    part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 32, 32, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def test_rescans_read_nothing_twice(spark, tree, tmp_path):
+    """Caches go by size and time: contents changed behind their back are not seen, so nothing was read again."""
+    for i in range(2):
+        put(tree / f"pics/{i}.png", picture(i) + b" " * 200)
+    store, o = Store(spark, str(tmp_path / "store")), ScanOptions(roots=(str(tree),), fuzzy_min_size=192)
+    scan.run(store, str(tree), o)
+    assert store.read("verify_cache").filter("same").count() == 3  # two of three files and one of two, each beside the first; none of the near pair
+    assert store.read("hash_cache").filter("dhash is not null").count() == 2
+    for name in ("b/sub/report copy.bin", "pics/1.png"):
+        st = os.stat(tree / name)
+        data = bytearray((tree / name).read_bytes())
+        data[60] ^= 255
+        (tree / name).write_bytes(data)
+        os.utime(tree / name, ns=(st.st_atime_ns, st.st_mtime_ns))
+    scan.run(store, str(tree), o)
+    known = store.read("groups").filter("scan_id = 2 and kind = 'exact'").collect()
+    assert sorted((r.file_count, r.verified) for r in known) == [(2, True), (3, True)]
+    assert store.read("verify_cache").count() == 3
+    hashes = {(r.scan_id, r.name): r.dhash for r in store.read("files").filter("ext = '.png'").collect()}
+    assert hashes[1, "1.png"] == hashes[2, "1.png"] is not None
+
+    # a quick rescan doesn't even look at the files of unchanged folders
+    before = os.stat(tree / "a")
+    (tree / "a/unique.bin").write_bytes(b"short")
+    assert os.stat(tree / "a").st_mtime_ns == before.st_mtime_ns
+    put(tree / "c/new.bin", b"new" * 100)
+    scan.run(store, str(tree), o.updated({"quick_rescan": True, "near_duplicates": False}))
+    sizes = {r.name: r.size for r in store.files(3).collect()}
+    assert sizes["unique.bin"] == 100_000 and sizes["new.bin"] == 300
+    scan.run(store, str(tree), o.updated({"near_duplicates": False}))
+    assert {r.name: r.size for r in store.files(4).collect()}["unique.bin"] == 5
+
+    os.remove(tree / "c/new.bin")
+    assert cli.main(["--store", store.root, "prune", "--keep", "2"], spark) == 0
+    left = {os.path.basename(r.path) for r in store.read("hash_cache").collect()}
+    assert "new.bin" not in left and "report.bin" in left
+
+
+def test_folders_linked_from_several_branches(spark, tmp_path):
+    put(tmp_path / "outside/x/deep.bin", b"1")
+    for name in ("a", "b"):
+        (tmp_path / "tree" / name).mkdir(parents=True)
+        os.symlink(tmp_path / "outside", tmp_path / "tree" / name / "link")
+    o = ScanOptions(follow_symlinks=True)
+    found = [os.path.relpath(r.path, tmp_path) for r in walker.tree(spark, str(tmp_path / "tree"), o).collect()]
+    assert found == ["tree/a/link/x/deep.bin"]
+
+
+def test_a_tree_of_one_branch_is_shared_out(tmp_path):
+    for i in range(9):
+        put(tmp_path / f"only/one/{i}/f", b"1")
+    parts = walker._Walk({"path": str(tmp_path)}).partitions()
+    assert len(parts) == 12 and len({p.path for p in parts}) == 12
+
+
+def test_engine_start_options_and_suggestions(spark, tree, tmp_path, capsys):
+    store = Store(spark, str(tmp_path / "store"))
+    store.append("scans", spark.createDataFrame([(1, "/r", "running"), (2, "/r", "done")], "id long, root string, state string"))
+    scan.recover(store, 7.0)
+    rows = {r.id: r for r in store.read("scans").collect()}
+    assert (rows[1].state, rows[1].finished_at, rows[2].state) == ("cancelled", 7.0, "done") and rows[1].error
+    at = str(tmp_path / "conf/options.json")
+    assert ScanOptions.load(at) == ScanOptions() and os.path.exists(at)
+    ScanOptions(min_size=5, roots=("/x",)).save(at)
+    assert ScanOptions.load(at) == ScanOptions(min_size=5, roots=("/x",))
+    for bad in ("{", "[1]", '{"min_size": "x"}', '{"unknown": 1}'):
+        (tmp_path / "conf/options.json").write_text(bad)
+        assert ScanOptions.load(at) == ScanOptions()
+    scan.run(store, str(tree), ScanOptions(near_duplicates=False))
+    said = store.read("suggestions").filter("scan_id = 3")
+    one = said.first().group_id
+    own = lambda n: store.read(n).filter("scan_id = 3")
+    args = own("groups"), store.read("group_members"), store.files(3), 9.0
+    again = suggest.suggest(*args, ids=[one])
+    assert [r.group_id for r in again.collect()] == [one]
+    both = suggest.upserted(said, again)
+    assert both.count() == said.count() == 2 and both.filter("created_at = 9").count() == 1
+    assert suggest.progress(own("groups"), again).first().asDict() == {"scan_id": 3, "todo": 2, "done": 1, "by_ai": 0, "by_heuristic": 1, "sure": 1}
+    for engine in ("ai", "other"):
+        with pytest.raises(ValueError):
+            suggest.suggest(*args, engine=engine)
+    assert cli.main(["--store", store.root, "suggest", str(one), "--engine", "heuristic"], spark) == 0
+
+
+def test_copies_between_jobs_are_removed(spark):
+    """Once nothing refers to them any more, the driver's garbage collection takes them off the disk."""
+    import gc
+    import time
+
+    at = lineage.shared_dir(spark).removeprefix("file:")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(at) for f in names}
+    before = files()
+    df = lineage.cut(spark.range(100))
+    kept = lineage.cut(df.filter("id > 5"))
+    assert files() - before
+    del df
+    for _ in range(40):
+        gc.collect()
+        spark._jvm.System.gc()
+        if len({p.split("/rdd-")[1].split("/")[0] for p in files() - before}) <= 1:
+            break
+        time.sleep(0.5)
+    assert len({p.split("/rdd-")[1].split("/")[0] for p in files() - before}) == 1
+    assert kept.count() == 94
+
+
 def test_links_and_permanent(spark, tree, tmp_path):
     rows = [(1, 1, str(tree / "c/report (1).bin"), 300_000, "deleted", None, str(tree / "a/report.bin")), (2, 1, str(tree / "a/unique.bin"), 100_000, "deleted", None, str(tree / "a/report.bin")), (3, 1, str(tree / "gone"), 1, "deleted", None, None)]
     plan = spark.createDataFrame(rows, "file_id long, scan_id long, path string, size long, outcome string, message string, dst_path string")
