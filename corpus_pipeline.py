@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from mirrorlake.llm import leaks, near, packing, rules, secret_scan
-from mirrorlake.operators.lineage import shared_dir
+from mirrorlake.operators.lineage import cut, remove, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +41,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage wrote goes once the next has read it; the result is a checkpoint,
+    which Spark's cleaner removes when nothing refers to it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
-    return docs
+    before = None
+    try:
+        for name, stage in STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name == STAGES[-1][0]:
+                return cut(out)
+            out.write.parquet(f"{at}/{name}")
+            docs = spark.read.parquet(f"{at}/{name}")
+            if before:
+                remove(spark, f"{at}/{before}")
+            before = name
+    finally:
+        remove(spark, at)
