@@ -12,7 +12,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from mirrorlake.llm import chat, leaks, near, packing, queries, rules, secret_scan
+from mirrorlake.llm import chat, leaks, near, packing, pii, queries, rules, secret_scan
 from tests.llm.fixtures import WORD, frame, prose
 from tests.llm.test_search import brute_leaks, brute_repeats, groups_of, pairs_at_least
 
@@ -130,12 +130,37 @@ def test_queries_equal_brute_force(spark, texts):
     for name in ("op2_quality_gam", "op7_quality_rules"):
         kept = {r.doc_id for r in q[name](spark, D).collect()}
         assert sum((i in kept) == (r.quality > 0) for i, r in labels.items()) >= 0.95 * len(labels)
-    flagged = {r.doc_id for r in q["op3_toxicity_chain"](spark, D).collect()}
-    assert not any(r.toxic == 0 and i in flagged for i, r in labels.items())
-    for r in q["op4_secret_scan"](spark, D).collect():
-        assert texts[r.doc_id][r.start : r.end].startswith(r.preview)
-    for r in q["op1_pii_semi_crf"](spark, D).collect():
-        assert texts[r.doc_id][r.start : r.end] == r.span
+
+
+PLANTED = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(PLANTED), reason="no test tables")
+def test_queries_find_what_is_planted(spark):
+    """All keys and all personal data of the forms that the tables have, and next to nothing else; nearly all that is labelled toxic, and nothing labelled otherwise."""
+    q = queries.queries()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{PLANTED}/documents.parquet").collect()}
+    found = q["op4_secret_scan"](spark, PLANTED).collect()
+    got = {(r.doc_id, docs[r.doc_id][r.start : r.end]) for r in found}
+    want = {(i, k) for i, t in docs.items() for k in re.findall(r'token = "([0-9a-f]{40})"', t)}
+    assert len(want) >= 10 and want <= got and len(got - want) <= 0.1 * len(want)
+    assert all(docs[r.doc_id][r.start : r.end].startswith(r.preview) for r in found)
+
+    found = q["op1_pii_semi_crf"](spark, PLANTED).collect()
+    assert all(docs[r.doc_id][r.start : r.end] == r.span and r.score >= -1e-9 for r in found)
+    forms = {"email": r"[a-z]+\.\d+@mail\d\.example\.com", "ip_address": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", "card_number": r"(?<!\w)\d{16}(?!\w)", "phone": r"\+\d \(\d{3}\) \d{3}-\d{4}"}
+    for kind, form in forms.items():
+        want = {(i, m.start(), m.group()) for i, t in docs.items() for m in re.finditer(form, t)}
+        got = {(r.doc_id, r.start, r.span) for r in found if r.kind == kind}
+        assert len(want) >= 5 and len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.05 * len(want), (kind, want - got, got - want)
+    model = pii.fit(pii.PiiOptions())
+    some = sorted(docs, key=lambda i: len(docs[i]))[-40:]  # whole texts without regions: the longest are the hardest
+    assert {(i, a, b, k) for i in some for a, b, k, _ in model.entities(docs[i])} == {(r.doc_id, r.start, r.end, r.kind) for r in found if r.doc_id in set(some)}
+
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{PLANTED}/labels.parquet").collect()}
+    flagged = {r.doc_id for r in q["op3_toxicity_chain"](spark, PLANTED).collect()}
+    toxic = {i for i, r in labels.items() if r.toxic}
+    assert len(toxic & flagged) >= 0.9 * len(toxic) and not (set(labels) - toxic) & flagged
 
 
 def plain_sentences(text, o):
