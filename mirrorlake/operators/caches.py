@@ -118,8 +118,9 @@ def prune_plan(scans: DataFrame, keep: int = 3) -> DataFrame:
 def prune_report(scans: DataFrame, files: DataFrame, groups: DataFrame, keep: int = 3) -> DataFrame:
     """(scans, files, groups) that pruning removes."""
     gone = prune_plan(scans, keep).filter("doomed").select(F.col("id").alias("scan_id"))
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(gone, "scans").crossJoin(n(files.join(gone, "scan_id", "left_semi"), "files")).crossJoin(n(groups.join(gone, "scan_id", "left_semi"), "groups"))
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    rows = n(gone, "scans").unionByName(n(files.join(gone, "scan_id", "left_semi"), "files")).unionByName(n(groups.join(gone, "scan_id", "left_semi"), "groups"))
+    return rows.agg(*(F.max(F.when(F.col("what") == x, F.col("n"))).alias(x) for x in ("scans", "files", "groups")))
 
 
 def stale(cache: DataFrame, there: DataFrame) -> DataFrame:
