@@ -44,7 +44,7 @@ class RepeatOptions:
     """
 
     passage: int = 50
-    shard_words: int = 400_000
+    shard_words: int = 1_000_000
     label_words: int = 4_000_000
     rounds: int = 3
     scratch: str | None = None
@@ -190,30 +190,39 @@ class _Shard:
         self.words, self.texts, self.owners = (Log(scratch, k, o.sort.buffer) for k in (np.int64, self._TEXT, self._OWNER))
         self.now: list[int] | None = None
         self.same: tuple | None = None
+        self.held: tuple[list, list] = ([], [])
 
     def add(self, whole: int, doc: int, begin: int, words: bytes) -> None:
         mark = (whole, len(words))
         if self.now is None or self.same[0] != mark:
             self._close()
             w = np.frombuffer(words, np.int64)
-            self.now = [self.words.n, len(w), doc, doc, 0, self.owners.n]
-            self.words.add(w)
-            self.words.add(np.array([-self.texts.n - 1]))  # ends are symbols found nowhere else, the last the least
+            self.now = [self.words.n, len(w), doc, doc, 0, self.owners.n + len(self.held[1])]
+            self.words.add(np.append(w, -len(self.held[0]) - self.texts.n - 1))  # ends are symbols found nowhere else, the last the least
         elif self.same[1:] == (doc, begin):
             return
         self.same = (mark, doc, begin)
         self.now[3] = max(self.now[3], doc)
         self.now[2] = min(self.now[2], doc)
         self.now[4] += 1
-        self.owners.add(np.array([(doc, begin)], self._OWNER))
+        self.held[1].append((doc, begin))
+        if len(self.held[1]) >= 4096:
+            self._write()
 
     def _close(self) -> None:
         if self.now is not None:
-            self.texts.add(np.array([tuple(self.now)], self._TEXT))
+            self.held[0].append(tuple(self.now))
+
+    def _write(self) -> None:
+        for log, rows, kind in zip((self.texts, self.owners), self.held, (self._TEXT, self._OWNER), strict=True):
+            if rows:
+                log.add(np.array(rows, kind))
+                rows.clear()
 
     def repeats(self) -> Iterator[tuple[np.ndarray, ...]]:
         """(doc_id, begin, stop, first_doc, copies) of the stretches that repeat, in parts."""
         self._close()
+        self._write()
         self.now = None
         o, block, n = self.o, max(64, self.o.sort.buffer), self.words.n
         texts, owners = self.texts.all(), self.owners.all()

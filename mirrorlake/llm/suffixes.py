@@ -41,7 +41,7 @@ class SortOptions:
     """``range_size``: suffixes whose symbols form a range; ``buffer``: tuples held before they are written, and read at once."""
 
     cap: int = 50
-    range_size: int = 1_000_000
+    range_size: int = 2_000_000
     buffer: int = 250_000
 
 
@@ -93,8 +93,7 @@ class Log:
     def flush(self) -> None:
         if self.now:
             with open(self.name, "ab") as f:
-                for x in self.now:
-                    x.tofile(f)
+                (np.concatenate(self.now) if len(self.now) > 1 else self.now[0]).tofile(f)
             self.now, self.held = [], 0
 
     def all(self) -> np.ndarray:
@@ -206,7 +205,9 @@ class _Text:
     def __init__(self, text: np.ndarray, scratch: Scratch, o: SortOptions):
         n = len(text)
         self.text, self.n, self.size = text, n, max(_BLOCK, o.buffer)
+        self.scratch, self._dense = scratch, None
         self.kind, self.left, self.right = scratch.empty(n, np.uint8), scratch.empty(n, np.int32), scratch.empty(n, np.int32)
+        self.induced = scratch.empty(n, np.uint8), scratch.empty(n, np.uint8)  # by type: which are induced by the next suffix
         start = 0
         for lo, hi in blocks(n, self.size):
             at = np.arange(lo, hi)
@@ -223,8 +224,17 @@ class _Text:
             s = np.append((a < b).astype(np.uint8), np.uint8(after))
             self.kind[lo:hi] = s[np.where(last < hi, last - lo, hi - lo)]
             self.right[lo:hi] = last - at
+            for want in (0, 1):
+                self.induced[want][lo:hi] = (self.kind[lo:hi] == want) & (last == at)
             stop, after = int(last[0]), int(self.kind[lo])
 
+    def dense(self, sign: int) -> np.ndarray:
+        """Numbers of the symbols in the order of ``sign`` times them, for a text of one range."""
+        if self._dense is None:
+            found, number = np.unique(self.text, return_inverse=True)
+            self._dense = self.scratch.keep(number.astype(np.int32)), len(found)
+        return self._dense[0] if sign > 0 else self._dense[1] - 1 - self._dense[0]
+
     def stars(self, at: np.ndarray) -> np.ndarray:
         """Which places are of type S after one of type L."""
         return (self.kind[at] == 1) & (at > 0) & (self.kind[np.maximum(at - 1, 0)] == 0)
@@ -258,9 +268,14 @@ class _Sweep:
         self.minima = _Minima(scratch, t.n) if self.cap else None
         self.order = 0
         self.last = None
+        self.dense: np.ndarray | None = None
 
     def run(self) -> tuple[np.ndarray, np.ndarray]:
         t, n_ranges = self.t, len(self.bounds) + 1
+        if n_ranges == 1:
+            self.dense = t.dense(self.sign)
+            self._range(0, None, None, None, 0, len(self.seeds))
+            return self.out_p.all(), self.out_l.all()
         symbols, pairs = _Ranges(self.scratch, np.int64, n_ranges, t.size), _Ranges(self.scratch, np.dtype([("of", np.int64), ("by", np.int64)]), n_ranges, t.size)
         for lo, hi in blocks(t.n - 1, t.size):  # the last suffix is not induced
             at = np.flatnonzero(t.kind[lo:hi] == self.want) + lo
@@ -291,13 +306,24 @@ class _Sweep:
         """Lay out a range's tuples and seeds by symbol and take them group by group."""
         t = self.t
         own = np.asarray(self.seeds[s:s_end])
-        own_c = t.text[own] * self.sign
-        c, count = np.unique(np.concatenate([symbols, own_c]), return_counts=True)
-        if not len(c):
+        if self.dense is not None:
+            at = (t.kind[:-1] == self.want).nonzero()[0]
+            seeded = self.dense[own]
+            count = np.bincount(self.dense[at]) if len(at) else np.zeros(1, np.int64)
+            n_seeds = np.bincount(seeded, minlength=len(count))
+            count = np.append(count, np.zeros(len(n_seeds) - len(count), np.int64)) + n_seeds
+            at = at[t.right[at] == 0]
+            of, by = self.dense[at], self.dense[at + 1]
+            c = None
+        else:
+            own_c = t.text[own] * self.sign
+            c, count = np.unique(np.concatenate([symbols, own_c]), return_counts=True)
+            seeded = np.searchsorted(c, own_c)
+            n_seeds = np.bincount(seeded, minlength=len(c))
+            of, by = np.searchsorted(c, pairs["of"]), np.searchsorted(c, pairs["by"])
+        if not len(count):
             return
         first = np.concatenate([[0], np.cumsum(count)])
-        seeded = np.searchsorted(c, own_c)
-        n_seeds = np.bincount(seeded, minlength=len(c))
         slots = np.zeros(first[-1], _TUPLE)
         place, arrival, run = (np.ascontiguousarray(slots[f]) for f in _TUPLE.names)
         del slots
@@ -310,28 +336,40 @@ class _Sweep:
             given[at] = self.seed_lcp[s:s_end]
         free = first[:-1].copy()
 
-        def put(tuples: np.ndarray, symbol: np.ndarray) -> None:
-            u = np.searchsorted(c, symbol)
-            if len(u) > 1 and (u[1:] < u[:-1]).any():
-                by = np.argsort(u, kind="stable")
-                u, tuples = u[by], tuples[by]
-            edge = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-            size = np.diff(np.append(edge, len(u)))
-            to = free[u] + np.arange(len(u)) - np.repeat(edge, size)
-            free[u[edge]] += size
-            place[to], arrival[to], run[to] = tuples["place"], tuples["arrival"], tuples["run"]
+        def put(q: np.ndarray, w: np.ndarray, k: np.ndarray | int, symbol: np.ndarray | None) -> None:
+            u = self.dense[q] if symbol is None else np.searchsorted(c, symbol)
+            if len(u) > 1:
+                by = u.argsort(kind="stable")
+                u, q, w = u[by], q[by], w[by]
+                k = k[by] if isinstance(k, np.ndarray) else k
+                new = np.empty(len(u), bool)
+                new[0] = True
+                np.not_equal(u[1:], u[:-1], out=new[1:])
+                edge = new.nonzero()[0]
+                nth = np.arange(len(u))
+                size = np.empty(len(edge), np.int64)
+                size[:-1], size[-1] = edge[1:] - edge[:-1], len(u) - edge[-1]
+                to = free[u] + nth - edge.repeat(size)
+                free[u[edge]] += size
+            else:
+                to = free[u]
+                free[u] += 1
+            place[to], arrival[to] = q, w
+            if isinstance(k, np.ndarray):
+                run[to] = k
 
         rows = self.waiting.logs[r].all()
         for lo, hi in blocks(len(rows), t.size):
-            put(rows[lo:hi], t.text[rows["place"][lo:hi]] * self.sign)
-        least = np.full(len(c), -1)
-        np.maximum.at(least, np.searchsorted(c, pairs["of"]), np.searchsorted(c, pairs["by"]))
+            x = rows[lo:hi]
+            put(x["place"], x["arrival"], x["run"], None if c is None else t.text[x["place"]] * self.sign)
+        least = np.full(len(count), -1)
+        np.maximum.at(least, of, by)
         begin, starts = 0, [0]
         for i, by in enumerate(least.tolist()):
             if by >= begin and i:
                 starts.append(begin := i)
-        symbol = np.repeat(np.arange(len(c)), count)
-        for a, b in zip(starts, [*starts[1:], len(c)], strict=True):
+        symbol = np.repeat(np.arange(len(count)), count)
+        for a, b in zip(starts, [*starts[1:], len(count)], strict=True):
             x, y = int(first[a]), int(first[b])
             p, w, k, d, g, u = place[x:y], arrival[x:y], run[x:y], seed[x:y], given[x:y], symbol[x:y]
             if k.any():
@@ -368,66 +406,73 @@ class _Sweep:
         n, t = len(p), self.t
         if not n:
             return
+        lcp = np.zeros(n, np.uint8)
+        seeds = bool(d.any())
         if self.cap:
-            if self.last is None:
-                p0, w0, k0, d0, same = p[:1], w[:1], k[:1], d[:1], False
-            else:
-                (p0, w0, k0, d0), same = self.last, True
-            before_w, before_k, before_d = np.append(w0, w[:-1]), np.append(k0, k[:-1]), np.append(d0, d[:-1])
-            goes_on = np.append(same, u[1:] == u[:-1])
-            lcp = np.where(goes_on & d & before_d, g, 0).astype(np.int64)
-            turn = np.flatnonzero(goes_on & d & ~before_d)
-            lcp[turn] = np.minimum(before_k[turn], t.right[p[turn]]) + 1
-            plain = goes_on & ~d
-            apart = np.flatnonzero(plain & (k != before_k))
-            lcp[apart] = np.minimum(k[apart], before_k[apart]) + 1
-            both = np.flatnonzero(plain & (k == before_k))
-            if len(both):
-                lcp[both] = k[both] + 1 + self.minima.least(before_w[both] + 1, w[both])
-            lcp = np.minimum(lcp, self.cap).astype(np.uint8)
+            self._prefixes(lcp, p, w, k, d, g, u, seeds, put is None)
             self.minima.add(lcp)
-            if put is None:  # a symbol in parts
-                self.last = (p[-1:].copy(), w[-1:].copy(), k[-1:].copy(), d[-1:].copy())
-        else:
-            lcp = np.zeros(n, np.uint8)
-        if self.with_seeds:
+        if self.with_seeds or not seeds:
             self.out_p.add(p)
             self.out_l.add(lcp)
-        elif d.any():
-            self.out_p.add(p[~d])
-            self.out_l.add(lcp[~d])
         else:
-            self.out_p.add(p)
-            self.out_l.add(lcp)
-        q = p - 1
-        ok = np.flatnonzero((q >= 0) & (t.kind[q] == self.want))
-        if len(ok):
-            q = q[ok]
-            c = t.text[q]
-            new = c != t.text[p[ok]]
-            ok, q, c = ok[new], q[new], c[new] * self.sign
-        if len(ok):
-            size = t.left[q]
-            if len(q) < (total := int(size.sum())):
-                run = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-                ok, q, c = np.repeat(ok, size), np.repeat(q, size) - run, np.repeat(c, size)
-            else:
-                run = 0
-            tuples = np.empty(len(q), _TUPLE)
-            tuples["place"], tuples["arrival"], tuples["run"] = q, ok + self.order, run
-            if high is not None:
-                far = c >= high
-                if far.all():
-                    here = None
-                else:
-                    here, tuples, c = (tuples[~far], c[~far]), tuples[far], c[far]
-                if len(c):
-                    self.waiting.add(np.searchsorted(self.bounds, c, "right"), tuples)
-            else:
-                here = (tuples, c)
-            if here is not None and len(here[1]):
-                put(*here)
+            own = (~d).nonzero()[0]
+            self.out_p.add(p[own])
+            self.out_l.add(lcp[own])
+        ok = t.induced[self.want][p - 1].nonzero()[0]  # nothing stands before the first, and the last is not induced
         self.order += n
+        if not len(ok):
+            return
+        q, w = p[ok] - 1, ok + (self.order - n)
+        size = t.left[q]
+        run: np.ndarray | int = 0
+        if len(q) < (total := int(size.sum())):
+            run = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+            q, w = np.repeat(q, size) - run, np.repeat(w, size)
+        if self.dense is not None:
+            put(q, w, run, None)
+            return
+        c = t.text[q] * self.sign
+        if high is not None:
+            far = (c >= high).nonzero()[0]
+            if len(far):
+                tuples = np.empty(len(far), _TUPLE)
+                tuples["place"], tuples["arrival"], tuples["run"] = q[far], w[far], run[far] if isinstance(run, np.ndarray) else 0
+                self.waiting.add(np.searchsorted(self.bounds, c[far], "right"), tuples)
+                here = (c < high).nonzero()[0]
+                q, w, c, run = q[here], w[here], c[here], run[here] if isinstance(run, np.ndarray) else 0
+        if len(q):
+            put(q, w, run, c)
+
+    def _prefixes(self, lcp: np.ndarray, p: np.ndarray, w: np.ndarray, k: np.ndarray, d: np.ndarray, g: np.ndarray, u: np.ndarray, seeds: bool, parts: bool) -> None:
+        """The common prefix of each suffix with the one before it; ``parts``: they go on where the last ones ended."""
+        more = parts and self.last is not None
+        if more:
+            p, w, k, d, g, u = (np.append(x[:1], y) for x, y in zip((*self.last, g[:1], u), (p, w, k, d, g, u), strict=True))
+        if parts:
+            self.last = tuple(x[-1:].copy() for x in (p, w, k, d))
+        i = (u[1:] == u[:-1]).nonzero()[0] + 1
+        if not len(i):
+            return
+        value = np.empty(len(i), np.int64)
+        plain = np.arange(len(i))
+        if seeds or more:
+            now, before = d[i], d[i - 1]
+            both = (now & before).nonzero()[0]
+            value[both] = g[i[both]]
+            turn = (now & ~before).nonzero()[0]
+            value[turn] = np.minimum(k[i[turn] - 1], self.t.right[p[i[turn]]]) + 1
+            plain = (~now).nonzero()[0]
+        if len(plain):
+            j = i[plain]
+            a, b = k[j - 1], k[j]
+            if a.any() or b.any():
+                apart = (a != b).nonzero()[0]
+                value[plain[apart]] = np.minimum(a[apart], b[apart]) + 1
+                same = (a == b).nonzero()[0]
+                j, plain, b = j[same], plain[same], b[same]
+            if len(j):
+                value[plain] = b + 1 + self.minima.least(w[j - 1] + 1, w[j])
+        lcp[i - 1 if more else i] = np.minimum(value, self.cap)
 
 
 def suffix_order(text: np.ndarray, scratch: Scratch, options: SortOptions | None = None) -> tuple[np.ndarray, np.ndarray]:
