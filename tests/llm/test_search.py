@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from mirrorlake.llm import leaks, near, repeats
 from mirrorlake.llm.suffixes import Scratch, SortOptions, suffix_order
+from mirrorlake.operators import lineage
 from tests.llm.fixtures import corpus, frame, prose, shingles, words
 
 
@@ -315,3 +316,21 @@ def test_repeats_equal_brute_force(spark, shard_words, range_size, label_words,
     assert covered == brute_repeats(texts, 50)
     assert not list(tmp_path.iterdir())  # scratch files are gone
     assert all(x.first_doc <= x.doc_id and x.copies > 1 for x in got)
+
+
+def test_joins_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    """The same results where every list is too large to be broadcast and all joins shuffle."""
+    r = random.Random(14)
+    passage, item = prose(r, 70), prose(r, 30)
+    texts = corpus(5, 24) | {100 + i: prose(r, 20 + i) + " " + passage + " " + prose(r, 30) for i in range(4)} | {200: prose(r, 80) + " " + item + " " + prose(r, 9)}
+    docs, items = frame(spark, texts.items()).cache(), spark.createDataFrame([(1, item), (2, prose(r, 20))], "item_id long, text string")
+    o = repeats.RepeatOptions(scratch=str(tmp_path))
+    ways = [lambda: near.near_groups(docs), lambda: leaks.leaks(docs, items), lambda: repeats.repeated_passages(docs, o)]
+    want = [sorted(map(tuple, f().collect())) for f in ways]
+    monkeypatch.setattr(lineage.small, "__defaults__", (-1,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [sorted(map(tuple, f().collect())) for f in ways] == want and all(want)
+        assert "BroadcastHashJoin" not in leaks.leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
