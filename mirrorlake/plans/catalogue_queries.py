@@ -397,8 +397,8 @@ def groups_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    "SELECT m.group_id, m.file_id, m.similarity, f.path, f.parent, f.name, f.ext, f.size, f.mtime, f.status, f.md5, false AS is_image, CASE WHEN m.group_id % 10 <> 4 THEN v.action END AS action, "
-    "CASE WHEN m.group_id % 10 = 4 THEN NULL WHEN v.action = 'keep' THEN 'best place and name' WHEN v.kind = 'near' THEN CAST(round_even(v.similarity, 0) AS INTEGER) || '% alike; may be another version' WHEN v.action = 'review' THEN 'kept on purpose in a backup or archive' WHEN v.action = 'delete' THEN 'same content as the kept copy' END AS reason "
+    "SELECT m.group_id, m.file_id, m.similarity, f.path, f.parent, f.name, f.ext, f.size, f.mtime, f.status, f.md5, false AS is_image, v.action AS action, "
+    "CASE WHEN v.action = 'keep' THEN 'best place and name' WHEN v.kind = 'near' THEN CAST(round_even(v.similarity, 0) AS INTEGER) || '% alike; may be another version' WHEN v.action = 'review' THEN 'kept on purpose in a backup or archive' WHEN v.action = 'delete' THEN 'same content as the kept copy' END AS reason "
     "FROM group_members m JOIN files f ON f.id = m.file_id LEFT JOIN verdicts v ON v.group_id = m.group_id AND v.file_id = m.file_id", _SCAN)
 def group_members_detail(spark: SparkSession, d: str) -> DataFrame:
     s = made.scan(spark, d)
