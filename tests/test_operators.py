@@ -75,6 +75,17 @@ def test_hamming_pairs_equal_all_pairs(spark):
         assert got == want
 
 
+def test_hamming_pairs_meet_at_long_keys_only(spark):
+    """Bits that have seven of 64 in common, and equal ones, are no reason to compare everything with everything."""
+    r = random.Random(5)
+    bits = [r.getrandbits(57) for _ in range(3000)]
+    rows = fuzzy.flipped(spark.createDataFrame([(b,) for b in bits], "bits long"), 8)
+    assert rows.groupBy("nth", "key").count().agg(F.max("count")).first()[0] < 30
+    same = spark.createDataFrame([(i, b) for i, b in enumerate([5] * 30 + [4] * 20 + [None])], "id long, bits long")
+    got = [(x.a, x.b, x.distance) for x in fuzzy.hamming_pairs(same).collect()]
+    assert sorted(got) == [(i, j, int(i < 30 <= j)) for i in range(50) for j in range(i + 1, 50)]
+
+
 @pytest.mark.parametrize("parity", [False, True])
 def test_near_pairs_equal_all_pairs(spark, parity):
     r = random.Random(3)
