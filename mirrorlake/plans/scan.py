@@ -147,7 +147,7 @@ def run(store: Store, root: str, o: ScanOptions | None = None, progress: Progres
             listed = fuzzy.fuzzy_eligible(files, fuzzy.redundant(clusters), o)
             wanted = walker.hashed(listed.filter("wants_signature"), "fuzzy", o.fuzzy_max_bytes)
             signed = cut(wanted.select("id", "size", "name", "ext", "fuzzy"))
-            pairs = cut(fuzzy.mixed_scores(fuzzy.signature_pairs(signed, o), signed).filter(F.col("score") >= o.near_threshold))
+            pairs = cut(fuzzy.mixed_scores(fuzzy.signature_pairs(signed, o, fuzzy.least_content(o)), signed).filter(F.col("score") >= o.near_threshold))
             images = _images(store, listed.filter("is_image")) if o.image_similarity else None
             if images is not None:
                 images = cut(images)

@@ -117,6 +117,28 @@ def test_near_pairs_equal_all_pairs(spark, parity):
     assert len(want) > 10 and got == want
 
 
+def test_only_texts_whose_letters_allow_it_are_compared(spark, monkeypatch):
+    """Texts that share a passage and little else meet at one key; those that reach the threshold are all found."""
+    r = random.Random(7)
+    letters = ctph.LETTERS.tobytes().decode()
+    word = lambda n: "".join(r.choices(letters, k=n))
+    passage, base = word(12), word(60)
+    texts = [word(26) + passage + word(26) for _ in range(60)] + [base[:k] + word(3) + base[k + 3 :] for k in range(0, 57, 5)] + ["abc"]
+    sigs = {i: f"{48 << i % 2}:{t}:{word(30)}" if i % 3 else f"48:{word(64)}:{t[:32]}" for i, t in enumerate(texts)}
+    seen = []
+    scores = fuzzy.content_scores
+    monkeypatch.setattr(fuzzy, "content_scores", lambda pairs, *rest: seen.append(pairs.count()) or scores(pairs, *rest))
+    for parity in (False, True):
+        o = ScanOptions(parity=parity)
+        signed = spark.createDataFrame(list(sigs.items()), "id long, fuzzy string")
+        every = {(i, j): ctph.compare(sigs[i], sigs[j], parity) for i in sigs for j in sigs if i < j}
+        for least in (1, 40, fuzzy.least_content(o)):
+            got = {(x.a, x.b): x.content for x in fuzzy.signature_pairs(signed, o, least).collect()}
+            assert got == {p: v for p, v in every.items() if v >= least} and got
+        assert seen[-1] < seen[-3] / 3
+    assert fuzzy.least_content(ScanOptions()) == 62 and fuzzy.least_content(ScanOptions(near_threshold=99)) == 101
+
+
 def test_near_members(spark):
     f = files(spark, [(i, f"/r/{i}", b"z" * n, m, "present") for i, n, m in ((1, 10, 5), (2, 20, 9), (3, 20, 7), (4, 5, 1), (7, 9, 1), (8, 9, 1))])
     pairs = spark.createDataFrame([(1, 2, 80), (2, 3, 90), (4, 1, 70), (7, 8, 95)], "a long, b long, score int")
